@@ -1,4 +1,10 @@
 """Every named query of the library and its SQL equivalent."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from chorale.plans import core, relations, words
+
+_PARTS = (core, relations, words)
+
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
