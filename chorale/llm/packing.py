@@ -83,7 +83,7 @@ def _exact(gap: int, counts: np.ndarray, lengths: list[int]) -> tuple[int, ...]
             b = rest - a
             if b > a:
                 return None
-            if b > 0 and counts[b] and (a != b or counts[a] > 1):
+            if b > 0 and counts[a] and counts[b] and (a != b or counts[a] > 1):
                 return a, b
         return None
 
@@ -93,10 +93,12 @@ def _exact(gap: int, counts: np.ndarray, lengths: list[int]) -> tuple[int, ...]
         a = lengths[i]
         if 3 * a < gap:
             return None
+        if not counts[a]:
+            continue
         counts[a] -= 1
-        rest = pair(gap - a, a) if gap > a else None
+        rest = pair(gap - a, a)
         counts[a] += 1
-        if rest and (rest[0] != a or counts[a] > 1 + (rest[1] == a)):
+        if rest:
             return a, *rest
     return None
 
