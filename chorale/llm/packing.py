@@ -72,8 +72,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, keep_
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _exact(gap: int, counts: np.ndarray, lengths: list[int]) -> tuple[int, ...] | None:
-    """Available lengths, at most three, that sum to gap; larger ones first. lengths: the available ones, ascending."""
+def _exact(gap: int, counts: np.ndarray, lengths: list[int], parts: int) -> tuple[int, ...] | None:
+    """Available lengths, at most `parts`, that sum to gap; larger ones first. lengths: the available ones, ascending."""
     if gap > 0 and counts[gap]:
         return (gap,)
 
@@ -87,9 +87,9 @@ def _exact(gap: int, counts: np.ndarray, lengths: list[int]) -> tuple[int, ...]
                 return a, b
         return None
 
-    if found := pair(gap, gap):
+    if parts > 1 and (found := pair(gap, gap)):
         return found
-    for i in range(bisect_left(lengths, gap) - 1, -1, -1):
+    for i in range(bisect_left(lengths, gap) - 1 if parts > 2 else -1, -1, -1):
         a = lengths[i]
         if 3 * a < gap:
             return None
@@ -104,7 +104,12 @@ def _exact(gap: int, counts: np.ndarray, lengths: list[int]) -> tuple[int, ...]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences) for a histogram of lengths."""
+    """(lengths in one sequence, how many such sequences) for a histogram of lengths: of the plans that fill gaps with
+    up to three, two or one, that with the fewest sequences."""
+    return min((_planned(histogram, capacity, parts) for parts in (3, 2, 1)), key=lambda made: sum(n for _, n in made))
+
+
+def _planned(histogram: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -117,7 +122,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
-        found = _exact(capacity - top, counts, lengths)
+        found = _exact(capacity - top, counts, lengths, parts)
         counts[top] += 1
         if found is None:
             left[top] = int(counts[top])
