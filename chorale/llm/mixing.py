@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm._common import SPACES, materialize, numbered, streamed_groups, utf8, width
+from chorale.llm._common import SPACES, materialize, numbered, slabs, streamed_groups, utf8, width
 
 BLOCK = 8192
 WEIGHTS = (3, 1, 2)
@@ -42,13 +42,17 @@ def n_words(text: Column) -> Column:
 
     def count(x: pa.Array) -> pa.Array:
         data, offsets = utf8(x)
-        inside = ~space[data]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        firsts = offsets[:-1][offsets[:-1] < len(data)]
-        begins[firsts] = inside[firsts]
-        total = np.append(0, np.cumsum(begins))
-        return pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int64())
+        out = [np.zeros(0, dtype=np.int64)]
+        for a, b in slabs(offsets):
+            at = offsets[a : b + 1] - offsets[a]
+            inside = ~space[data[offsets[a] : offsets[b]]]
+            begins = inside.copy()
+            begins[1:] &= ~inside[:-1]
+            firsts = at[:-1][at[:-1] < len(inside)]
+            begins[firsts] = inside[firsts]
+            total = np.append(0, np.cumsum(begins))
+            out.append(total[at[1:]] - total[at[:-1]])
+        return pa.array(np.concatenate(out), pa.int64())
 
     return F.arrow_udf(count, "long")(text)
 
