@@ -213,7 +213,15 @@ def opener_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GRAMS = f"""{CORPUS}, t AS (SELECT id, is_from_me, month, {LETTER_TOKENS} AS w FROM corpus)"""
-_GRAM = {n: f"{_GRAMS}, g AS (SELECT id, is_from_me, month, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' '))) AS gram FROM t)" for n in (1, 2, 3)}
+
+
+def _grams(tokens: str, n: int) -> str:
+    """The n-grams of a token list, by windows over positions: slices of long lists would be copied again and again."""
+    joined = "word" + "".join(f" || ' ' || lead(word, {i}) OVER w" for i in range(1, n))
+    return f"""SELECT * FROM (SELECT id, is_from_me, month, {joined} AS gram FROM (SELECT id, is_from_me, month, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM {tokens}) WINDOW w AS (PARTITION BY id ORDER BY pos)) WHERE gram IS NOT NULL"""
+
+
+_GRAM = {n: f"{_GRAMS}, g AS ({_grams('t', n)})" for n in (1, 2, 3)}
 _COUNTS = "c AS (SELECT gram, count(*) FILTER (is_from_me = 1) AS me, count(*) FILTER (is_from_me = 0) AS them FROM g GROUP BY 1)"
 _AT = f"{CORPUS}, k AS (SELECT id, is_from_me, month, unnest({ASCII_TOKENS}) AS word FROM corpus)"
 
@@ -286,11 +294,11 @@ SELECT word, me, them, {rounded('(ln((me + 0.1) / (n_me - me + 0.1 * v)) - ln((t
     "word_adoption": f"""WITH {_AT}, c AS (SELECT word, month, count(*) FILTER (is_from_me = 1) AS me, count(*) FILTER (is_from_me = 0) AS them FROM k GROUP BY 1, 2),
 p AS (SELECT word, min(month) FILTER (me >= 2) AS me_first, min(month) FILTER (them >= 2) AS them_first, CAST(sum(me) AS BIGINT) AS me, CAST(sum(them) AS BIGINT) AS them FROM c GROUP BY 1)
 SELECT *, CASE WHEN me_first < them_first THEN 'me' ELSE 'them' END AS leader FROM p WHERE abs(me_first - them_first) >= 2 AND me + them >= 40 AND me >= 8 AND them >= 8""",
-    "echo_returns": f"""WITH {CORPUS}, t AS (SELECT id, month, {ASCII_TOKENS} AS w FROM corpus), g AS (SELECT id, month, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')))) AS gram FROM t),
+    "echo_returns": f"""WITH {CORPUS}, t AS (SELECT id, is_from_me, month, {ASCII_TOKENS} AS w FROM corpus), g AS (SELECT DISTINCT id, month, gram FROM ({_grams('t', 2)})),
 c AS (SELECT gram, count(*) AS uses, count(DISTINCT month) AS months FROM g GROUP BY 1 HAVING count(*) BETWEEN 5 AND 180 AND count(DISTINCT month) >= 2),
 b AS (SELECT DISTINCT gram, uses, month FROM g JOIN c USING (gram)), r AS (SELECT *, month - lag(month) OVER (PARTITION BY gram ORDER BY month) AS gap FROM b)
 SELECT gram, any_value(uses) AS uses, count(*) AS returns, max(gap) AS longest FROM r WHERE gap >= 4 GROUP BY 1""",
-    "ritual_phrases": f"""WITH {CORPUS}, t AS (SELECT id, month, {ASCII_TOKENS} AS w FROM corpus), g AS (SELECT id, month, unnest(list_distinct(list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))))) AS gram FROM t)
+    "ritual_phrases": f"""WITH {CORPUS}, t AS (SELECT id, is_from_me, month, {ASCII_TOKENS} AS w FROM corpus), g AS (SELECT DISTINCT id, month, gram FROM ({_grams('t', 2)} UNION ALL {_grams('t', 3)}))
 SELECT gram, count(*) AS texts, count(DISTINCT month) AS months FROM g GROUP BY 1 HAVING count(*) >= 35 AND count(DISTINCT month) >= 3""",
     "move_kinds": f"WITH {TEXT_MESSAGES}, k AS (SELECT is_from_me, CASE {_moves()} ELSE 'ambient' END AS move FROM text_messages) SELECT is_from_me, move, count(*) AS n FROM k GROUP BY 1, 2",
     "opener_lines": f"WITH {TEXT_MESSAGES}, f AS (SELECT chat_id, arg_min(text, (ts, id)) AS text FROM text_messages WHERE amt IS NULL GROUP BY 1), o AS (SELECT {ASCII_TOKENS}[1] AS opener FROM f) SELECT opener, count(*) AS n FROM o WHERE opener IS NOT NULL GROUP BY 1",
