@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chorale.plans import core, exchange, learned, relations, series, words
+from chorale.plans import core, exchange, learned, relations, series, streamed, words
 
-_PARTS = (core, relations, words, exchange, series, learned)
+_PARTS = (core, relations, words, exchange, series, learned, streamed)
 
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for part in _PARTS for k, v in part.ORACLE_SQL.items()}
