@@ -227,7 +227,7 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True, range_bytes:
 def resolved(records: DataFrame) -> DataFrame:
     """records with the payload_bytes of revisits taken from the responses they refer to."""
     whole = records.filter("record_type = 'response'").groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
-    return records.join(whole, F.col("payload_digest") == F.col("_digest"), "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_digest", "_bytes")
+    return records.join(whole.hint("merge"), F.col("payload_digest") == F.col("_digest"), "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_digest", "_bytes")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
