@@ -206,5 +206,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("doc_id").eqNullSafe(F.col("_top")), F.struct(F.col("_to").alias("_range"), F.lit(True).alias("_halo"))),
     )
     dealt = copies.select("doc_id", "text", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("_place")).select("_place.*", "doc_id", "text")
-    sorted_rows = dealt.repartition(n, "_range").sortWithinPartitions("_range", "_halo", F.col("doc_id").desc_nulls_last(), "text")
+    sorted_rows = dealt.repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_halo", F.col("doc_id").desc_nulls_last(), "text")
     return sorted_rows.mapInArrow(_prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
