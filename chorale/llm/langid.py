@@ -9,7 +9,8 @@ one whose spans hold most letters; its score is their share of all letters.
 A text keeps one language throughout, exactly as Viterbi would label it, when no stretch of words gains more than the
 penalty by leaving it (checked with a running maximum); only other texts are decoded step by step, many at a time.
 
-Training reads at most `per_language` labelled rows of each language, those with the least hash of their id; the counts
+Training reads at most `per_language` labelled rows of each language, those with the least hash of their id (labels
+are a set of languages, so tables of them are broadcast); the counts
 (at most languages * 3 * BUCKETS numbers) are summed by Spark. Every row is predicted from its text alone.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. With no labelled row at all, every text is `und`.
@@ -116,8 +117,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from the rows with a text and a label."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("lang", "id").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("id", "lang")
+    # a language's share of the hash range that holds about three times the ids wanted; only these are ranked, so a
+    # language with a third of all rows is no larger a task than any other
+    drawn = rows.select("lang", "id").withColumn("_u", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("_n"))
+    near = drawn.join(F.broadcast(sizes), "lang").filter(F.col("_u") < 3.0 * per_language / F.col("_n"))
+    order = Window.partitionBy("lang").orderBy("_u", "id")
+    chosen = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("id", "lang")
     # at most per_language ids for each language: small enough to broadcast, so texts don't move
     sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
     counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")).collect()
