@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
