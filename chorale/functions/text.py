@@ -57,9 +57,13 @@ def letter_tokens(text: Column, min_length: int = 2, max_length: int = 24) -> Co
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams of a token array, joined by spaces."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """The n-grams of a token array, joined by spaces: shifted copies zipped together, which is linear in the tokens (a
+    lambda over positions would evaluate the token array again for each)."""
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    out = F.slice(tokens, F.lit(1), count)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def negated(tokens: Column) -> Column:
