@@ -84,11 +84,11 @@ def lifecycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recurrence_diagonals(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of three or more recurring pairs that advance together."""
+    """Runs of two or more recurring pairs that advance together."""
     p = series.day_recurrence(spark, d).withColumn("diagonal", F.col("j") - F.col("i"))
     w = Window.partitionBy("diagonal").orderBy("i")
     r = p.withColumn("run", F.col("i") - F.row_number().over(w))
-    return r.groupBy("diagonal", "run").agg(F.min("i").alias("start"), F.count("*").alias("length")).filter("length >= 3").select("diagonal", "start", "length")
+    return r.groupBy("diagonal", "run").agg(F.min("i").alias("start"), F.count("*").alias("length")).filter("length >= 2").select("diagonal", "start", "length")
 
 
 def forecast_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +177,7 @@ SELECT segment_id, chat_id, category, topic_id, {rounded('0.34 * length / top_le
 t AS (SELECT chat_id, topic_id, CAST(sum(n) AS BIGINT) AS segments, count(*) AS days, max(n) AS peak, min(day) AS a, max(day) AS b, coalesce(max(gap), 0) AS longest, (SELECT max(day) FROM p) AS edge FROM g GROUP BY 1, 2)
 SELECT chat_id, topic_id, segments, days, peak, longest, CASE WHEN edge - b >= 10 AND days >= 2 THEN 'faded' WHEN edge - a <= 9 AND segments >= 2 THEN 'newcomer' WHEN days <= 2 AND segments >= 3 AND peak >= greatest(2, segments * 0.35) THEN 'comet'
  WHEN longest >= 8 THEN 'resurrected' WHEN b - a + 1 >= 14 AND days / (b - a + 1) >= 0.28 THEN 'evergreen' ELSE 'other' END AS archetype FROM t""",
-    "recurrence_diagonals": f"WITH p AS ({series.ORACLE_SQL['day_recurrence']}), r AS (SELECT j - i AS diagonal, i, i - row_number() OVER (PARTITION BY j - i ORDER BY i) AS run FROM p) SELECT diagonal, min(i) AS start, count(*) AS length FROM r GROUP BY diagonal, run HAVING count(*) >= 3",
+    "recurrence_diagonals": f"WITH p AS ({series.ORACLE_SQL['day_recurrence']}), r AS (SELECT j - i AS diagonal, i, i - row_number() OVER (PARTITION BY j - i ORDER BY i) AS run FROM p) SELECT diagonal, min(i) AS start, count(*) AS length FROM r GROUP BY diagonal, run HAVING count(*) >= 2",
     "forecast_labels": f"""{_FRAMES}, f8 AS (SELECT * FROM f WHERE past >= 8), b AS (SELECT min(day) AS a, max(day) AS z FROM f8), g AS (SELECT f8.*, day <= a + floor((z - a) * 0.72) AS train, (future + 10) / (past + 10) AS ratio FROM f8, b),
 t AS (SELECT quantile_cont(future, 0.24) AS q, quantile_cont(future, 0.78) AS u, quantile_cont(ratio, 0.78) AS s FROM g WHERE train) SELECT chat_id, day, train, future <= q AS quiet, future >= u AS busy, {rounded('ratio')} >= {rounded('s')} AS surge FROM g, t""",
     "sliding_neighbours": f"""WITH {_EP}, r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, episode ORDER BY ts, id) AS place FROM ep)
