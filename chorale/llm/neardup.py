@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chorale.llm._common import components, hashed_words, materialize, mixed, slabs, streamed_groups, utf8, width
+from chorale.llm._common import components, free, hashed_words, materialize, mixed, slabs, streamed_groups, utf8, width
 
 MISS = 1e-5
 BUCKET = 1024
@@ -266,5 +266,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """docs without the rows whose document isn't the smallest id of its component; rows with a null id stay."""
     gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent, k=k).filter("not kept and doc_id is not null")
-    gone = materialize(gone.select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = free(docs, "_gone")
+    gone = materialize(gone.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col(name), "left_anti")

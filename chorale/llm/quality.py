@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from chorale.llm._common import hashed_words, materialize, slabs, utf8
+from chorale.llm._common import free, hashed_words, materialize, slabs, utf8
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -100,6 +100,14 @@ def rejected_hosts(judged: DataFrame, *, max_rate: float = MAX_HOST_RATE) -> Dat
     return hosts.select("host", rate.alias("rate")).filter(F.col("rate") > max_rate)
 
 
+def _without_hosts(rows: DataFrame, host: str, bad: DataFrame) -> DataFrame:
+    """rows without those of rejected hosts, which are broadcast below a checked number."""
+    name = free(rows, "_host")
+    bad = materialize(bad.select(F.col("host").alias(name)))
+    few = bad.count() <= BROADCAST_HOSTS
+    return rows.join(F.broadcast(bad) if few else bad, rows[host].eqNullSafe(bad[name]), "left_anti")
+
+
 def _with_verdicts(rows: DataFrame, host: str, bad: DataFrame) -> DataFrame:
     """rows with _bad: whether the host is rejected. Rejected hosts are broadcast below a checked number."""
     bad = materialize(bad.select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
@@ -126,6 +134,4 @@ def filtered(docs: DataFrame, *, text_col: str = "text", host_col: str = "source
 
     test = F.arrow_udf(failed, BooleanType())(F.col(text_col).cast("string"))
     bad = rejected_hosts(docs.select(F.col(host_col).alias("host"), test.alias("failed")))
-    columns = docs.columns
-    kept = docs.withColumn("_failed", test).filter("not _failed").drop("_failed")
-    return _with_verdicts(kept, host_col, bad).filter("not _bad").select(*columns)
+    return _without_hosts(docs.filter(~test), host_col, bad)

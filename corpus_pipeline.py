@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.llm import langid, mixing, neardup, packing, quality
-from chorale.llm._common import materialize
+from chorale.llm._common import free, materialize
 
 #: Documents with a smaller share of letters in their main language go, as do those without a letter.
 MIN_LANGUAGE_SHARE = 0.5
@@ -16,9 +16,9 @@ DUPLICATE_PERCENT = 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with one main language."""
     model = langid.train(docs)
-    columns = docs.columns
-    found = docs.withColumn("_lang_found", langid.predict(docs, model))
-    return found.filter((F.col("_lang_found.lang_pred") != "und") & (F.col("_lang_found.score") >= MIN_LANGUAGE_SHARE)).select(*columns)
+    name = free(docs, "_lang_found")
+    found = docs.withColumn(name, langid.predict(docs, model))
+    return found.filter((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= MIN_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, 0 to 2 times."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "copies").groupBy("_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    rows = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    key, times = free(docs, "_id"), free(docs, "_copies")
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
+    rows = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(key)))
+    return rows.withColumn(free(rows, "_copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

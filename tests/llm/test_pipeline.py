@@ -31,3 +31,26 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "source_mix":
             assert Counter(ids(out)) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]})
         docs = out
+
+
+CLASHES = ("_id", "_copies", "_copy", "_gone", "_host", "_bad", "_failed", "_lang_found", "kept", "size", "copies", "component_id", "rank", "Lang_Pred")
+
+
+def test_stages_bear_clashing_columns_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.filter("doc_id = 0").selectExpr("cast(null as bigint) doc_id", "text", "lang", "cast(null as string) source", "n_chars")
+    odd = odd.union(docs.filter("doc_id < 3").selectExpr("doc_id + 900000", "case doc_id when 0 then null when 1 then '' else ' ' end", "cast(null as string)", "source", "n_chars"))
+    full = docs.union(odd).union(docs.filter("doc_id = 5")).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES])
+    for empty in (False, True):
+        rows = full.limit(0) if empty else full
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf_dir)
+            if name == "best_fit_packing":
+                assert empty == out.isEmpty()
+                break
+            assert out.columns == full.columns
+            got = out.collect()
+            assert bool(got) != empty
+            for r in got:
+                assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for c in CLASHES)
+            rows = spark.createDataFrame(got, full.schema)
