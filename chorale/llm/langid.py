@@ -43,6 +43,8 @@ SCRIPTS = (
 )
 NAMES = ("Other", *dict.fromkeys(s for s, _, _ in SCRIPTS))
 SLAB = 1 << 20
+#: N-grams are formed for about so many code points at once, so a text of any length needs few temporary arrays.
+CHUNK = 1 << 17
 
 _TABLES: dict[str, np.ndarray] = {}
 
@@ -100,15 +102,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b, points, ptr in _batched(texts):
             letters = is_letter[points]
-            classes = _grams(points, letters)
-            scripts = script_of[points]
             for i in range(a, b):
-                s = slice(ptr[i - a], ptr[i - a + 1])
-                own = letters[s]
                 have = grams.setdefault(langs[i], np.zeros(GRAMS * BUCKETS + len(NAMES), dtype=np.int64))
-                for g in classes:
-                    have += np.bincount(g[s][own], minlength=len(have))
-                have[GRAMS * BUCKETS :] += np.bincount(scripts[s][own], minlength=len(NAMES))
+                begin, end = int(ptr[i - a]), int(ptr[i - a + 1])
+                for at in range(begin, end, CHUNK):
+                    # the n-grams that end in this chunk reach GRAMS code points back
+                    back, to = max(begin, at - GRAMS), min(at + CHUNK, end)
+                    own = letters[at:to]
+                    for g in _grams(points[back:to], letters[back:to]):
+                        have += np.bincount(g[at - back :][own], minlength=len(have))
+                    have[GRAMS * BUCKETS :] += np.bincount(script_of[points[at:to]][own], minlength=len(NAMES))
     for lang, have in grams.items():
         some = np.flatnonzero(have)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(have[some])], ["lang", "class", "n"])
@@ -149,13 +152,19 @@ def _word_scores(points: np.ndarray, ptr: np.ndarray, model: Model) -> tuple[np.
     at = np.searchsorted(start, ptr)
     if not len(start):
         return np.zeros((0, len(model.languages)), dtype=np.float32), np.zeros(0, dtype=np.int64), at, start
-    own = np.flatnonzero(letters)
-    heads = np.searchsorted(own, start)
-    scores = np.zeros((len(own), len(model.languages)), dtype=np.float32)
-    for g in _grams(points, letters):
-        scores += model.grams[g[own]]
-    words = np.add.reduceat(scores, heads, axis=0)
-    size = np.diff(np.append(heads, len(own)))
+    words, size = np.empty((len(start), len(model.languages)), dtype=np.float32), np.empty(len(start), dtype=np.int64)
+    a = 0
+    while a < len(start):  # whole words, about CHUNK code points: no n-gram reaches over a word's edge
+        b = max(a + 1, int(np.searchsorted(start, start[a] + CHUNK)))
+        s = slice(start[a], start[b] if b < len(start) else len(points))
+        own = np.flatnonzero(letters[s])
+        heads = np.searchsorted(own, start[a:b] - start[a])
+        scores = np.zeros((len(own), len(model.languages)), dtype=np.float32)
+        for g in _grams(points[s], letters[s]):
+            scores += model.grams[g[own]]
+        words[a:b] = np.add.reduceat(scores, heads, axis=0)
+        size[a:b] = np.diff(np.append(heads, len(own)))
+        a = b
     able = model.scripts[script_of[points[start]]]
     able |= ~able.any(axis=1, keepdims=True)
     words[~able] = -1e4
