@@ -66,6 +66,12 @@ def ngrams(tokens: Column, n: int) -> Column:
     return out
 
 
+def pairs(tokens: Column) -> Column:
+    """Adjacent tokens as structs of w1 and w2, which costs no string for each pair."""
+    count = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), count), F.slice(tokens, F.lit(2), count), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+
+
 def negated(tokens: Column) -> Column:
     """Tokens within the window after a negator get _NEG; a negator starts the window anew and is never tagged."""
     negators = F.array(*[F.lit(w) for w in NEGATORS])

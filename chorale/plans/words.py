@@ -79,10 +79,12 @@ def gram_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collocations_llr_pmi_t(spark: SparkSession, d: str) -> DataFrame:
-    g = corpus(spark, d).select(F.explode(text.ngrams(text.letter_tokens(F.col("text")), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c12"))
-    g = g.withColumns({"w1": F.substring_index("gram", " ", 1), "w2": F.substring_index("gram", " ", -1)})
+    pairs = corpus(spark, d).select(F.explode(text.pairs(text.letter_tokens(F.col("text")))).alias("p")).select("p.w1", "p.w2")
+    # both not null, said outright: the counts below and their totals then share one exchange, so texts are read once
+    g = pairs.filter("w1 is not null and w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("c12"))
     first, second = g.groupBy("w1").agg(F.sum("c12").alias("c1")), g.groupBy("w2").agg(F.sum("c12").alias("c2"))
     j = g.filter("c12 >= 10").join(first, "w1").join(second, "w2").join(F.broadcast(g.agg(F.sum("c12").alias("total"))))
+    j = j.withColumn("gram", F.concat_ws(" ", "w1", "w2"))
     a, n = F.col("c12").cast("double"), F.col("total").cast("double")
     b, c = F.col("c1") - a, F.col("c2") - a
     rest = n - F.col("c1") - F.col("c2") + a
@@ -184,11 +186,10 @@ def word_adoption(spark: SparkSession, d: str) -> DataFrame:
 
 def echo_returns(spark: SparkSession, d: str) -> DataFrame:
     """Bigrams of 5 to 180 texts that come back after four months or more without them."""
-    g = corpus(spark, d).select("id", "month", F.explode(F.array_distinct(text.ngrams(text.ascii_tokens(F.col("text")), 2))).alias("gram"))
-    counts = g.groupBy("gram").agg(F.count("*").alias("uses"), F.countDistinct("month").alias("months")).filter("uses between 5 and 180 and months >= 2")
-    by = g.join(counts, "gram").select("gram", "uses", "month").distinct()
-    w = Window.partitionBy("gram").orderBy("month")
-    r = by.withColumn("gap", F.col("month") - F.lag("month").over(w)).filter("gap >= 4")
+    g = corpus(spark, d).select("month", F.explode(F.array_distinct(text.ngrams(text.ascii_tokens(F.col("text")), 2))).alias("gram"))
+    by = g.groupBy("gram", "month").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("gram")
+    r = by.withColumns({"uses": F.sum("n").over(w), "gap": F.col("month") - F.lag("month").over(w.orderBy("month"))}).filter("uses between 5 and 180 and gap >= 4")
     return r.groupBy("gram").agg(F.first("uses").alias("uses"), F.count("*").alias("returns"), F.max("gap").alias("longest"))
 
 
