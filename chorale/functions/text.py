@@ -139,7 +139,7 @@ def redacted(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, "([.!?]+)\\s+", "$1\n"), "\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def syllables(word: Column) -> Column:

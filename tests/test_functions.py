@@ -103,6 +103,8 @@ def test_redaction(spark):
 def test_syllables_and_sentences(spark):
     assert [one(spark, text.syllables(F.col("t")), t=w) for w in ("make", "banana", "the", "")] == [1, 3, 1, 0]
     assert one(spark, text.sentences(F.col("t")), t="One. Two!  Three? four") == ["One.", "Two!", "Three?", "four"]
+    # places in the list are no characters to trim
+    assert one(spark, text.sentences(F.col("t")), t="0 of 10. 11 came back. 22 left") == ["0 of 10.", "11 came back.", "22 left"]
 
 
 def test_medians_and_rounding(spark):
