@@ -34,6 +34,14 @@ def distinct_events(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def followed(stream: DataFrame, first: str, then: str, within: str = "4 hours", late: str = "1 hour") -> DataFrame:
+    """A user's events of one kind and their events of another at most `within` later: both sides wait no longer than that."""
+    a = stream.filter(F.col("event_type") == first).withWatermark("at", late).select("user_id", F.col("event_id").alias("first_id"), F.col("at").alias("first_at"))
+    b = stream.filter(F.col("event_type") == then).withWatermark("at", late).select(F.col("user_id").alias("_user"), F.col("event_id").alias("then_id"), F.col("at").alias("then_at"))
+    near = (F.col("user_id") == F.col("_user")) & (F.col("then_at") > F.col("first_at")) & (F.col("then_at") <= F.col("first_at") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select("user_id", "first_id", "then_id", (F.unix_seconds("then_at") - F.unix_seconds("first_at")).alias("gap"))
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """What the stream gives once all files there are have been read, as an in-memory table of that name."""
     spark = stream.sparkSession
