@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +70,28 @@ def topic_communities(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(label, "topic_id long, community long")
 
 
+#: For a log whose messages are minutes apart; `threads` has the defaults for chats.
+THREAD_LEAST, THREAD_TAU = 30, 7200.0
+
+
+def conversation_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Threads inside long segments, one task per segment: it holds the segment's vectors and 25 links a message at most."""
+
+    def parted(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["ts", "id"])
+        vectors = np.stack(t["embedding"].to_numpy()).astype(float)
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        found = segmentation.threads(t["id"].to_numpy(), t["ts"].to_numpy(), vectors, t["reply_to_id"].fillna(-1).to_numpy(), tau=THREAD_TAU)
+        chat, episode = t["chat_id"].iloc[0], t["episode"].iloc[0]
+        return pd.DataFrame([(chat, episode, i, len(x), x) for i, x in enumerate(found)], columns=["chat_id", "episode", "thread", "n_msgs", "msg_ids"])
+
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    e = sequence.episodes(messages(spark, d), gap=86400).join(F.broadcast(v.agg(F.count("*").alias("vectors"))))
+    sized = e.withColumn("n", F.count("*").over(Window.partitionBy("chat_id", "episode"))).filter(F.col("n") >= THREAD_LEAST)
+    m = sized.join(v, F.col("id") % F.col("vectors") == F.col("vec_id")).select("chat_id", "episode", "id", "ts", "reply_to_id", "embedding")
+    return m.groupBy("chat_id", "episode").applyInPandas(parted, "chat_id int, episode long, thread int, n_msgs long, msg_ids array<long>")
+
+
 def lifecycles(spark: SparkSession, d: str) -> DataFrame:
     """A topic of a chat by the shape of its days; the first rule that holds."""
     s = segments(spark, d).withColumn("day", F.floor(F.col("start_ts") / 86400).cast("bigint"))
@@ -192,4 +215,4 @@ s AS (SELECT id, kind, {rounded('sum(n * CAST(weight AS DOUBLE))')} AS score FRO
 SELECT id, kind, score, secondary, {rounded('least(0.97, 0.45 + 0.42 * (score - second) / greatest(score, 1.0) + 0.12 * tanh(score / 8))')} AS confidence, CASE WHEN score < 1 THEN 'weak' WHEN score - second < 0.1 THEN 'ambiguous' ELSE 'classified' END AS status FROM r WHERE pos = 1""",
     "store_projection": f"WITH {MESSAGES} SELECT id, ts, CAST(id AS VARCHAR) AS guid, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS is_image, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS is_video, '604555' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS handle FROM messages",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "capsules_diverse", "spaced_events", "topic_communities"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "capsules_diverse", "spaced_events", "topic_communities", "conversation_threads"]}

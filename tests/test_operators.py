@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,6 +35,38 @@ def test_communities():
     assert len({found[x] for x in (1, 2, 3)}) == 1 and len({found[x] for x in (4, 5, 6)}) == 1 and found[1] != found[4]
 
 
+def modularity(labels, edges):
+    total = 2 * sum(w for _, _, w in edges)
+    degree = [sum(w * ((a == x) + (b == x)) for a, b, w in edges) for x in range(len(labels))]
+    inside = 2 * sum(w for a, b, w in edges if labels[a] == labels[b]) / total
+    return inside - sum((sum(degree[x] for x in range(len(labels)) if labels[x] == c) / total) ** 2 for c in set(labels))
+
+
+def test_modular():
+    rng = random.Random(3)
+    for _ in range(30):
+        edges = [(a, b, rng.choice([0.3, 1.0, 2.0])) for a in range(6) for b in range(a) if rng.random() < 0.5]
+        if edges:
+            best = max(modularity(x, edges) for x in itertools.product(range(4), repeat=6))
+            found = segmentation.modular(6, edges)
+            assert modularity(found, edges) >= max(0.0, best - 0.1) - 1e-9
+            assert found == segmentation.modular(6, edges)
+    cliques = [(a + k, b + k, 1.0) for k in (0, 5, 10) for a in range(5) for b in range(a)] + [(4, 5, 0.5), (9, 10, 0.5)]
+    found = segmentation.modular(15, cliques)
+    assert len(set(found)) == 3 and all(len(set(found[k : k + 5])) == 1 for k in (0, 5, 10))
+    assert segmentation.modular(3, []) == [0, 1, 2]
+
+
+def test_threads():
+    ids, ts, axes = np.arange(40) + 100, np.arange(40) * 10.0, np.eye(2)
+    vectors, none = axes[np.arange(40) % 2], np.full(40, -1)
+    assert segmentation.threads(ids, ts, vectors, none, tau=3600) == [ids[::2].tolist(), ids[1::2].tolist()]
+    alone = segmentation.threads(ids[:4], np.arange(4) * 1e6, vectors[:4], none[:4])
+    assert alone == [ids[:4].tolist()]
+    reply = np.where(np.arange(5) == 4, 100, -1)
+    assert segmentation.threads(ids[:5], np.zeros(5), np.eye(5), reply) == [ids[:5].tolist()]
+
+
 def test_archived_text(spark):
     head = b"\x04\x0bstreamtyped\x81\xe8\x03\x84\x01@\x84\x84\x84\x12NSAttributedString\x00\x84\x84\x08NSObject\x00\x85\x92\x84\x84\x84\x08NSString\x01\x94\x84\x01+"
     long = "ü" * 100
