@@ -7,7 +7,8 @@ added after one of 16 MB or more), which the sink adds as its line end.
 The reader deals the archives' byte ranges over tasks, whatever the files' sizes. A task scans its range for the gzip
 magic, validates each candidate by decoding it up to the WARC header, owns the records that start inside its range, and
 reads past its end to finish the last. A magic inside a member is passed over, since members are decoded from one end to the next;
-the one at the start of a range is refused unless it decodes to a WARC header.
+the one at the start of a range is refused unless it decodes to a WARC header. A header may have any length, as it holds
+the url.
 
 Records with equal payloads: the one with the largest id is a response, the others are revisits that refer to it. Only
 digests are grouped; a group of any size costs one row.
@@ -35,7 +36,6 @@ MAGIC = b"\x1f\x8b\x08"
 LEVEL = 4
 RANGE = 16 << 20
 BLOCK = 1 << 18
-HEADER_LIMIT = 1 << 16
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31)
 EMPTY_MEMBER = _EMPTY.compress(b"") + _EMPTY.flush()
 PREFIX = "urn:x-page:"
@@ -144,8 +144,7 @@ def decoded(source: _Source) -> tuple[bytes, int] | None:
             checked = True
         if z.eof:
             whole = b"".join(out)
-            head = whole.find(b"\r\n\r\n", 0, HEADER_LIMIT)
-            return (whole, taken - len(z.unused_data)) if head >= 0 else None
+            return (whole, taken - len(z.unused_data)) if b"\r\n\r\n" in whole else None
 
 
 def scan(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:

@@ -104,6 +104,14 @@ def test_warc_odd_rows(spark):
     assert rows(warc.round_trip(df.limit(0))) == []
 
 
+def test_warc_long_urls(spark):
+    long, wide = "http://x/" + "u" * 100_000, "http://x/" + "漢" * 20_000
+    df = spark.createDataFrame([(1, "http://x/1", "same"), (2, "http://x/2", "same"), (3, long, "same"), (4, wide, "other")], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], r["refers_to"]) for r in rows(warc.round_trip(df))}
+    assert got == {1: ("revisit", 4, 3), 2: ("revisit", 4, 3), 3: ("response", 4, None), 4: ("response", 5, None)}
+    assert next(r["url"] for r in rows(warc.round_trip(df)) if r["page_id"] == 3) == long
+
+
 # ---------------------------------------------------------------- 2 sharding
 
 
