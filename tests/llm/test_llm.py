@@ -227,6 +227,16 @@ def test_ids_equal_the_tokenizers():
         assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_with_added_tokens(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n", "<|endoftext|", "é <|endoftext|>\n\n 漢字 don't", "<|<|endoftext|>|>", "plain"]
+    got = rows(packing.pack(docs([(i, x, "en", "web") for i, x in enumerate(texts)]), keep_ids=True))
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 def check_packing(got, texts, capacity=1024):
     encode = packing.encoder()
     held, places = defaultdict(list), defaultdict(list)
