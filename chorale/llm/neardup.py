@@ -12,9 +12,13 @@ Copies with equal sets are one class throughout (a group of any size costs one r
 BUCKET rows, or a group of more than SHINGLES shingles, is dealt over salts, and each pair of salts is a tile of
 its own: all pairs stay covered, and a task holds two salts at most.
 
+Classes have numbers of their own, so ids play no part until the components are named by their smallest id.
+
 Defined results: null, empty or blank text: an empty set, linked with nothing. Rows that share an id are one
-document, and what links one of them links all. A null id takes part in its class but is never a component; alone, its
-component is null. Extra columns are ignored. An empty table gives an empty table.
+document, and what links one of them links all (but for its empty texts). Rows with a null id link like others but never name
+a component; among themselves alone, their component is null. `deduplicated` leaves one row of each component and of each
+id, and of a component without an id; rows with a null id and an empty set all stay. Extra columns are ignored. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chorale.llm._common import components, free, hashed_words, materialize, mixed, slabs, streamed_groups, utf8, width
 
@@ -69,6 +74,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return (np.concatenate(out) if out else shingle[:0]), ptr
 
 
+def digests(sets: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums for each set; with its size they stand for it."""
+    some = np.diff(ptr) > 0
+    d1, d2 = np.zeros(len(some), dtype=np.uint64), np.zeros(len(some), dtype=np.uint64)
+    if some.any():
+        d1[some] = np.add.reduceat(mixed(sets ^ _MIXERS[100]), ptr[:-1][some])
+        d2[some] = np.add.reduceat(mixed(sets ^ _MIXERS[101]), ptr[:-1][some])
+    return d1.view(np.int64), d2.view(np.int64)
+
+
+def _digested(batches: Iterator[pa.RecordBatch], k: int, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches with each row's set size and digests, as columns of these names."""
+    for batch in batches:
+        data, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        for a, b in slabs(offsets):
+            part = offsets[a : b + 1]
+            sets, ptr = shingle_sets(data[part[0] : part[-1]], part - part[0], k)
+            out = batch.slice(a, b - a)
+            for name, column in zip(names, (np.diff(ptr), *digests(sets, ptr)), strict=True):
+                out = out.append_column(name, pa.array(column))
+            yield out
+
+
 def _sign(batches: Iterator[pa.RecordBatch], values: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
@@ -78,17 +106,15 @@ def _sign(batches: Iterator[pa.RecordBatch], values: int, k: int) -> Iterator[pa
             size = np.diff(ptr)
             some = size > 0
             heads = ptr[:-1][some]
-            d1, d2 = np.zeros(b - a, dtype=np.uint64), np.zeros(b - a, dtype=np.uint64)
+            d1, d2 = digests(sets, ptr)
             signature = np.zeros((b - a, values), dtype="<u2")
             if len(heads):
-                d1[some] = np.add.reduceat(mixed(sets ^ _MIXERS[100]), heads)
-                d2[some] = np.add.reduceat(mixed(sets ^ _MIXERS[101]), heads)
                 for i in range(values):
                     least = np.minimum.reduceat((sets ^ _MIXERS[200 + 2 * i]) * _MIXERS[201 + 2 * i], heads)
                     signature[some, i] = mixed(least) >> np.uint64(48)
             rows = [r.tobytes() for r in signature]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(rows, pa.binary())],
+                [batch.column(0).slice(a, b - a), pa.array(size), pa.array(d1), pa.array(d2), pa.array(rows, pa.binary())],
                 ["id", "n", "d1", "d2", "sig"],
             )
 
@@ -209,13 +235,24 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterato
     keys = ["grp", "lo", "hi"]
 
     def with_sets() -> Iterator[pa.RecordBatch]:
+        """A row's id may stand for other texts too: those not of its class go, and all but one text of a class."""
+        last = None
         for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy()
             data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
             for a, b in slabs(offsets):
                 part = offsets[a : b + 1]
                 sets, ptr = shingle_sets(data[part[0] : part[-1]], part - part[0], k)
+                d1, d2 = digests(sets, ptr)
+                rows = np.flatnonzero((np.diff(ptr) == get("n")[a:b]) & (d1 == get("d1")[a:b]) & (d2 == get("d2")[a:b]))
+                if not len(rows):
+                    continue
+                place = np.stack([get(c)[a:b][rows] for c in [*keys, "rep"]], axis=1)
+                fresh = np.append(last is None or (place[0] != last).any(), (place[1:] != place[:-1]).any(axis=1))
+                last = place[-1]
                 lists = pa.LargeListArray.from_arrays(pa.array(ptr), pa.array(sets))
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in [*keys, "rep"]] + [lists], [*keys, "rep", "set"])
+                out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in [*keys, "rep"]] + [lists], [*keys, "rep", "set"])
+                yield out if len(rows) == b - a and fresh.all() else out.take(pa.array(rows[fresh]))
 
     for table in streamed_groups(with_sets(), keys):
         runs, ids, out = _runs(table, keys), table.column("rep").to_numpy(), []
@@ -228,32 +265,51 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs; see the module's text for the defined results."""
+def _twins(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share an id."""
+    named = signed.filter("n > 0 and id is not null").select("id", "d1", "d2", "n")
+    several = named.groupBy("id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2", "n") for f in (F.min, F.max)])
+    several = materialize(several.filter("min_d1 != max_d1 or min_d2 != max_d2 or min_n != max_n").select("id"))
+    own = materialize(named.join(several, "id").distinct().join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).select("id", "rep"))
+    return own.join(own.groupBy("id").agg(F.min("rep").alias("a")), "id").filter("a != rep").select("a", F.col("rep").alias("b"))
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, d1, d2) of every row, and (d1, d2, n, part, component) of every class: its component's number and smallest id."""
     spark = docs.sparkSession
     chunks = chunks_for(percent)
-    values, distance, n = 4 * chunks, 2 * chunks - 1, width(spark)
+    values, distance, width_ = 4 * chunks, 2 * chunks - 1, width(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(texts.mapInArrow(lambda b: _sign(b, values, k), "id long, n long, d1 long, d2 long, sig binary"))
-    classes = materialize(signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.any_value("sig").alias("sig")))
-    reps = classes.filter("rep is not null").select("rep", "n", "sig")
-    # an id may stand for several classes; the table by id has one row each, so that joins on rep keep their size
-    keys = reps.select("rep", "sig").repartition(n).mapInArrow(lambda b: _keys(b, chunks), "key long, rep long")
+    classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers hold
+    keys = classes.select("rep", "sig").repartition(width_).mapInArrow(lambda b: _keys(b, chunks), "key long, rep long")
     keys = materialize(keys)
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     buckets = keys.join(shared, "key").withColumn("tiles", F.ceil(F.col("rows") / BUCKET).cast("long")).drop("rows")
-    rows = _tiled(buckets, "tiles").join(reps.select("rep", "sig"), "rep").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
+    rows = _tiled(buckets, "tiles").join(classes.select("rep", "sig"), "rep").repartition(width_, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "rep")
     near = rows.select("key", "lo", "hi", "rep", "sig").mapInArrow(lambda b: _near(b, distance), "a long, b long").distinct()
     groups = components(materialize(near)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    sized = groups.join(reps.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
+    sized = groups.join(classes.drop("sig"), "rep")
     tiles = sized.groupBy("grp").agg(F.ceil(F.sum("n") / SHINGLES).cast("long").alias("tiles"))
-    placed = _tiled(sized.join(tiles, "grp").drop("n"), "tiles")
-    full = texts.join(placed.withColumnRenamed("rep", "id").hint("shuffle_hash"), "id").withColumnRenamed("id", "rep")
-    full = full.repartition(n, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
-    links = full.select("grp", "lo", "hi", "rep", "text").mapInArrow(lambda b: _confirm(b, percent, k), "a long, b long")
-    found = components(materialize(links)).withColumnRenamed("node", "rep")
-    named = classes.select("d1", "d2", "n", "rep").join(found, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    placed = _tiled(sized.join(tiles, "grp"), "tiles")
+    full = texts.join(placed.filter("id is not null").hint("shuffle_hash"), "id")
+    # classes of null ids alone: their texts are found by digest, one for each class
+    nameless = texts.filter("id is null").select("text").mapInArrow(lambda b: _digested(b, k, "text", ["n", "d1", "d2"]), "text string, n long, d1 long, d2 long")
+    nameless = nameless.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("text").alias("text")).join(placed.filter("id is null").drop("id"), ["d1", "d2", "n"])
+    order = ["grp", "lo", "hi", "rep", "n", "d1", "d2", "text"]
+    full = full.select(*order).union(nameless.select(*order))
+    full = full.repartition(width_, "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")
+    links = full.mapInArrow(lambda b: _confirm(b, percent, k), "a long, b long").union(_twins(signed, classes))
+    found = materialize(components(materialize(links)).select(F.col("node").alias("rep"), F.col("component").alias("part")))
+    parts = found.join(classes.select("rep", "id"), "rep").groupBy("part").agg(F.min("id").alias("smallest"))
+    named = classes.drop("sig").join(found.join(parts, "part"), "rep", "left")
+    component = F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("smallest"))
+    return signed, named.select("d1", "d2", "n", F.coalesce("part", "rep").alias("part"), component.alias("component"))
+
+
+def _components(signed: DataFrame, named: DataFrame) -> DataFrame:
+    out = signed.select("id", "n", "d1", "d2").join(named.drop("part"), ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias("doc_id"),
@@ -263,9 +319,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs; see the module's text for the defined results."""
+    return _components(*_classified(docs, id_col, text_col, percent, k))
+
+
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
-    """docs without the rows whose document isn't the smallest id of its component; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent, k=k).filter("not kept and doc_id is not null")
-    name = free(docs, "_gone")
-    gone = materialize(gone.select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == F.col(name), "left_anti")
+    """docs with one row of each component: of its smallest id, or any where no row has an id; see the module's text."""
+    signed, named = _classified(docs, id_col, text_col, percent, k)
+    named = materialize(named)
+    key, text = docs[id_col].cast("long"), F.struct(F.col(text_col).cast("string"))
+    row, name, words = free(docs, "_row"), free(docs, "_id"), free(docs, "_text")
+    digest = [free(docs, c) for c in ("_n", "_d1", "_d2")]
+    one = F.min_by(F.struct(*docs.columns), text).alias(row)  # the row of the least text
+    ids = _components(signed, named).filter("doc_id is not null").groupBy(F.col("doc_id").alias(name))
+    ids = materialize(ids.agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1"))
+    plain = docs.filter(key.isNotNull()).join(ids.select(name).hint("shuffle_hash"), key == F.col(name), "left_anti")
+    repeated = docs.join(ids.filter("kept").select(name), key == F.col(name), "left_semi").groupBy(key.alias(name)).agg(one).select(f"{row}.*")
+    nameless = docs.filter(key.isNull()).withColumn(words, F.col(text_col).cast("string"))
+    schema = T.StructType([*nameless.schema.fields, *(T.StructField(c, T.LongType()) for c in digest)])
+    nameless = nameless.mapInArrow(lambda b: _digested(b, k, words, digest), schema)
+    empty = nameless.filter(F.col(digest[0]) == 0).select(*docs.columns)
+    n, d1, d2 = digest
+    classes = nameless.filter(F.col(n) > 0).groupBy(F.col(n).alias("n"), F.col(d1).alias("d1"), F.col(d2).alias("d2")).agg(one, F.min(words).alias("text"))
+    alone = classes.join(named.filter("component is null"), ["n", "d1", "d2"]).groupBy("part").agg(F.min_by(row, "text").alias(row)).select(f"{row}.*")
+    return plain.union(repeated).union(empty).union(alone)

@@ -523,6 +523,29 @@ def test_near_duplicate_odd_rows(spark, docs):
     assert rows(neardup.near_duplicates(df.limit(0))) == []
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark, docs):
+    a, b, c = (near_copies(1, seed, 60)[0] for seed in (3, 4, 5))
+    tail = lambda t, x: t.rsplit(" ", 1)[0] + f" {x}"
+    head = lambda t, x: f"{x} " + t.split(" ", 1)[1]
+    chain = [head(head(a, "p").replace("p ", "p q r s t u v w ", 1), "p"), a, a + " i j k l m n o"]  # the ends are linked through the middle alone
+    table = [
+        (20, chain[0]), (None, chain[1]), (21, chain[2]),  # a null id bridges
+        (None, b), (None, tail(b, "x")), (None, tail(b, "x")),  # a component without an id
+        (3, "k l m n o p"), (5, "k l m n o p"), (5, c), (9, c), (9, tail(c, "y")), (11, tail(c, "z")),  # ids join classes
+        (30, "one row of two"), (30, "one row of two"), (None, ""), (None, None), (31, ""),
+    ]
+    want_sets = plain_components(dict(enumerate([chain[0], chain[2]])), 80)
+    assert len({x for _, x in want_sets.values()}) == 2
+    df = docs([(i, t, None, None) for i, t in table])
+    got = [(r["doc_id"], r["component_id"]) for r in rows(neardup.near_duplicates(df))]
+    want = [20, 20, 20, None, None, None, 3, 3, 3, 3, 3, 3, 30, 30, None, None, 31]
+    assert sorted(got, key=repr) == sorted(((i, x) for (i, _), x in zip(table, want, strict=True)), key=repr)
+    left = rows(neardup.deduplicated(df))
+    assert sorted((r["doc_id"] for r in left if r["doc_id"] is not None)) == [3, 20, 30, 31]
+    nameless = [r["text"] for r in left if r["doc_id"] is None]
+    assert len(nameless) == 3 and sum(not t for t in nameless) == 2 and nameless.count(chain[1]) == 0
+
+
 def test_signature_guarantee():
     assert neardup.chunks_for(85) == 8 and neardup.chunks_for(80) == 11
     rng = np.random.default_rng(1)
