@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,18 +17,32 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------- durable tables
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder name under the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+_OWN: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a session on this machine alone gets a temporary
+    folder, and one on a cluster is refused: its machines would each write to a folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="chorale-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/chorale-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "root" not in _OWN:
+        _OWN["root"] = tempfile.mkdtemp(prefix="chorale-")
+        atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
+    return _OWN["root"]
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder name in the shared folder, removed when the process ends."""
+    path = f"{_root(spark)}/chorale-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -35,12 +50,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts lineage and survives lost executors."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, which cuts lineage and survives lost executors, and the table's folder."""
     spark = df.sparkSession
     path = work_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    return stored(df)[0]
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -111,25 +130,30 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Each round hooks every node onto its smallest neighbour, jumps pointers once and contracts the edges; the edge
-    table shrinks until none is left. Rounds are written to the shared folder. Nothing is collected but a count.
+    table shrinks until none is left. Rounds are written to the shared folder, and a round's tables go when the next
+    ones are written. Nothing is collected but whether a table is empty.
     """
+    spark = edges.sparkSession
     both = edges.filter("a is not null and b is not null and a != b")
-    both = materialize(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = None
+    both, both_at = stored(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, labels_at = None, None
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).filter("node is not null").distinct()
     while True:
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to"))
-        hooks = materialize(hooks)
+        hooks, hooks_at = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")))
         if hooks.isEmpty():
             break
         up = hooks.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        jumped = materialize(hooks.join(up, "to").select("node", F.col("up").alias("to")))
+        jumped, jumped_at = stored(hooks.join(up, "to").select("node", F.col("up").alias("to")))
         moved = labels.withColumnRenamed("component", "at") if labels is not None else nodes.select("node", F.col("node").alias("at"))
-        labels = materialize(
-            moved.join(jumped.select(F.col("node").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("component"))
-        )
+        to = jumped.select(F.col("node").alias("at"), "to")
+        old_labels, old_both = labels_at, both_at
+        labels, labels_at = stored(moved.join(to, "at", "left").select("node", F.coalesce("to", "at").alias("component")))
         left, right = jumped.select(F.col("node").alias("a"), F.col("to").alias("x")), jumped.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        both = materialize(both.join(left, "a").join(right, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        contracted = both.join(left, "a").join(right, "b").filter("x != y")
+        both, both_at = stored(contracted.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        for path in (hooks_at, jumped_at, old_both, old_labels):
+            if path:
+                remove(spark, path)
     return labels if labels is not None else nodes.select("node", F.col("node").alias("component"))
 
 

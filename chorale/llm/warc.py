@@ -10,12 +10,13 @@ reads past its end to finish the last. A magic inside a member is passed over, s
 the one at the start of a range is refused unless it decodes to a WARC header. A header may have any length, as it holds
 the url.
 
-Records with equal payloads: the one with the largest id is a response, the others are revisits that refer to it. Only
-digests are grouped; a group of any size costs one row.
+Records with equal payloads: the one with the largest id is a response, the others are revisits that refer to it. A
+revisit's HTTP header keeps the payload's length, so what a revisit stands for is read without a join.
 
 Defined results: a null html has an empty payload; a null url an empty target; a null page id takes part in its group, is
 written as `null` and is a revisit wherever the group has another id; of rows that share the largest id each is a response.
-Extra columns are ignored; an empty table gives an empty table.
+Extra columns are ignored; an empty table gives an empty table. A record that breaks off, or that begins as WARC and has no end of
+its header, stops the reader with an error. Ids are whole numbers or cast to them.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAGIC = b"\x1f\x8b\x08"
 LEVEL = 4
 RANGE = 16 << 20
 BLOCK = 1 << 18
+#: A digest's pages, and pages without an id, are dealt over so many parts of a join.
+SALTS = 32
 _EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31)
 EMPTY_MEMBER = _EMPTY.compress(b"") + _EMPTY.flush()
 PREFIX = "urn:x-page:"
@@ -55,7 +58,7 @@ def member(record: bytes) -> bytes:
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
-    block = head if revisit else head + payload
+    block = head if revisit else head + payload  # a revisit's HTTP header keeps the payload's length
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
@@ -82,15 +85,25 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """A response or revisit record for each row of pages(page_id, url, html), as archives in the folder path."""
+    """A response or revisit record for each row of pages(page_id, url, html), as archives in the folder path.
+
+    Ids and digests are grouped and, where a digest has several pages, joined back to its members salt by salt; only
+    the revisits' ids and digests then meet the pages, by id, so a payload that many pages share fills no task.
+    """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    keyed = rows.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("bytes"))
-    # only digests that more than one page has are moved on: their pages' revisits, by page id
-    groups = keyed.groupBy("sha", "bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n", "bytes")
-    joined = rows.withColumn("sha", F.sha1(payload)).join(groups.hint("shuffle_hash"), "sha", "left")
-    first = F.col("largest").isNull() | F.col("page_id").eqNullSafe(F.col("largest"))
-    records = joined.select("page_id", "url", "html", F.when(~first, F.col("largest")).alias("refers_to"))
+    keyed = rows.select("page_id", F.sha1(payload).alias("sha"))
+    groups = keyed.groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1 and largest is not null").drop("n")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = keyed.distinct().withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"])
+    revisits = members.filter(~F.col("page_id").eqNullSafe(F.col("largest"))).select("page_id", F.col("sha").alias("_sha"), F.col("largest").alias("refers_to"))
+    # null ids are one key: they are dealt over salts by the partition that they are read in
+    spread = F.when(F.col("page_id").isNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    copies = F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    revisits = revisits.withColumn("_salt", F.explode(copies)).withColumnRenamed("page_id", "_page_id")
+    keyed_rows = rows.withColumn("_sha1", F.sha1(payload)).withColumn("_spread", spread)
+    same = F.col("page_id").eqNullSafe(F.col("_page_id")) & (F.col("_sha1") == F.col("_sha")) & (F.col("_spread") == F.col("_salt"))
+    records = keyed_rows.join(revisits.hint("merge"), same, "left").select("page_id", "url", "html", "refers_to")
     members = records.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
     members.write.option("lineSep", "\0").text(path)
     _named(pages.sparkSession, path)
@@ -111,7 +124,7 @@ class _Source:
     """Bytes of a file from a position on, read in blocks."""
 
     def __init__(self, file, at: int) -> None:
-        self.file, self.at, self.held = file, at, b""
+        self.file, self.at, self.held = file, at, bytearray()
         file.seek(at)
 
     def more(self) -> bool:
@@ -120,31 +133,36 @@ class _Source:
         return bool(block)
 
     def drop(self, n: int) -> None:
-        self.held, self.at = self.held[n:], self.at + n
+        del self.held[:n]
+        self.at += n
 
 
 def decoded(source: _Source) -> tuple[bytes, int] | None:
-    """(record, compressed length) of the member at the source's position; None if it isn't a WARC record."""
+    """(record, compressed length) of the member at the source's position; None if it isn't a WARC record. A member that
+    begins as one and breaks off or has no end of its header is an error: no record is passed over in silence."""
     z = zlib.decompressobj(31)
-    out, size, checked, taken = [], 0, False, 0
+    out, checked, taken = bytearray(), False, 0
     while True:
         if taken == len(source.held) and not source.more():
+            if checked:
+                raise ValueError(f"the archive ends inside the record at byte {source.at}")
             return None
-        chunk = source.held[taken : taken + BLOCK]
+        chunk = bytes(source.held[taken : taken + BLOCK])
         taken += len(chunk)
         try:
-            data = z.decompress(chunk)
-        except zlib.error:
+            out += z.decompress(chunk)
+        except zlib.error as e:
+            if checked:
+                raise ValueError(f"the record at byte {source.at} is damaged") from e
             return None
-        out.append(data)
-        size += len(data)
-        if not checked and (size >= 8 or z.eof):
-            if not b"".join(out).startswith(b"WARC/1."):
+        if not checked and (len(out) >= 8 or z.eof):
+            if not out.startswith(b"WARC/1."):
                 return None
             checked = True
         if z.eof:
-            whole = b"".join(out)
-            return (whole, taken - len(z.unused_data)) if b"\r\n\r\n" in whole else None
+            if b"\r\n\r\n" not in out:
+                raise ValueError(f"the record at byte {source.at} has no end of its header")
+            return bytes(out), taken - len(z.unused_data)
 
 
 def scan(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -167,14 +185,22 @@ def scan(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             source.drop(1)
 
 
-def parsed(whole: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and the payload: the block without its HTTP header."""
+def _fields(head: bytes) -> dict[str, str]:
+    parts = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in parts}
+
+
+def parsed(whole: bytes) -> tuple[dict[str, str], bytes, int]:
+    """Headers (names in lower case), the payload (the block without its HTTP header) and the length that the HTTP header
+    gives the payload, which a revisit keeps; without one, that of the payload."""
     head, _, rest = whole.partition(b"\r\n\r\n")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    headers = _fields(head)
     block = rest[: int(headers.get("content-length", 0))]
-    if headers.get("content-type", "").startswith("application/http"):
-        block = block.partition(b"\r\n\r\n")[2]
-    return headers, block
+    if not headers.get("content-type", "").startswith("application/http"):
+        return headers, block, len(block)
+    http, _, payload = block.partition(b"\r\n\r\n")
+    length = _fields(http).get("content-length", "")
+    return headers, payload, int(length) if length.isdigit() else len(payload)
 
 
 def _opened(path: str):
@@ -192,26 +218,32 @@ def _page(uri: str | None) -> int | None:
 def _scanned(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * payloads]
     names = ["page_id", "url", "path", "record_type", "payload_bytes", "payload_digest", "refers_to", *["payload"] * payloads]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*rows, strict=True), kinds, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names)
+
     for batch in batches:
         for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             rows, held = [], 0
             uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
             with _opened(uri) as file:
                 for _, whole in scan(file, start, end):
-                    h, payload = parsed(whole)
+                    h, payload, length = parsed(whole)
                     kind = h.get("warc-type")
                     if kind not in ("response", "revisit"):
                         continue
                     own = kind == "response"
                     mark = digest(payload) if own else h.get("warc-payload-digest", "").removeprefix("sha1:")
-                    row = (_page(h.get("warc-record-id")), h.get("warc-target-uri"), path, kind, len(payload) if own else None, mark, _page(h.get("warc-refers-to")) if not own else None)
+                    to = None if own else _page(h.get("warc-refers-to"))
+                    row = _page(h.get("warc-record-id")), h.get("warc-target-uri"), path, kind, len(payload) if own else length, mark, to
                     rows.append((*row, payload if own else None) if payloads else row)
                     held += len(payload) * payloads
                     if len(rows) >= 4096 or held >= 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        yield table(rows)
                         rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield table(rows)
 
 
 def read(spark: SparkSession, path: str, *, payloads: bool = True, range_bytes: int = RANGE) -> DataFrame:
@@ -223,15 +255,9 @@ def read(spark: SparkSession, path: str, *, payloads: bool = True, range_bytes:
     return ranges.mapInArrow(lambda b: _scanned(b, payloads), schema)
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """records with the payload_bytes of revisits taken from the responses they refer to."""
-    whole = records.filter("record_type = 'response'").groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
-    return records.join(whole.hint("merge"), F.col("payload_digest") == F.col("_digest"), "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "_bytes")).drop("_digest", "_bytes")
-
-
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages written to archives in the shared folder and read back."""
     spark = pages.sparkSession
     path = work_dir(spark)
     write(pages, path)
-    return resolved(read(spark, path, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
