@@ -1,14 +1,13 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Lengths are packed, not pieces: the histogram of piece lengths has at most `capacity` rows, whatever the corpus, so the
-plan is made on the driver. From the longest length down, the gap it leaves is looked up among the sums of one, two
-and three lengths still available, and combinations that fill it exactly are consumed as often as the counts allow.
-What finds no exact partner is packed best-fit, longest first. The plan's rank ranges are then joined to the pieces'
-ranks within their length, which gives every piece its sequence and place without moving texts or tokens.
+plan is made on the driver. The sums of one, two and three available lengths are indexed. From the longest length down,
+the gap it leaves is looked up in the index, and the combination that fills it exactly is consumed as often as
+the counts allow; the index is refreshed as lengths run out. What finds no exact partner is packed best-fit, longest
+first. The plan's rank ranges are then joined to the pieces' ranks within their length, which gives every piece its
+sequence and place without moving texts or tokens.
 
-Token ids are those of the `tokenizers` file byte_bpe_50k.json with add_special_tokens=False: a text is split at the
-file's added tokens, which have ids of their own, and the parts are encoded with the same vocabulary's ranks file, which
-gives equal ids (tested) in a quarter of the time.
+Token ids are those of the `tokenizers` file byte_bpe_50k.json with add_special_tokens=False (see _tokens.py).
 
 Defined results: a null or empty text is the end id alone. Null ids and repeated rows are packed as rows of their own;
 extra columns are ignored; an empty table gives an empty table. A text of any length is encoded whole.
@@ -16,11 +15,7 @@ extra columns are ignored; an empty table gives an empty table. A text of any le
 
 from __future__ import annotations
 
-import base64
-import json
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -30,55 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm._common import materialize, ranked_within
-
-_ENCODERS: dict[str, object] = {}
-
-
-def encoder(path: str | None = None):
-    """ordinary text -> list of ids, from a ranks file; one for each process."""
-    import public_tokenizers
-    import tiktoken
-
-    path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _ENCODERS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return _ENCODERS[path]
-
-
-def text_encoder(path: str | None = None):
-    """text -> list of ids, with those of the fixed vocabulary's added tokens; a ranks file given by path has none."""
-    import public_tokenizers
-
-    encode = encoder(path)
-    if path is not None:
-        return encode
-    if "added" not in _ENCODERS:
-        with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        parts = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
-        _ENCODERS["added"] = added, parts
-    added, parts = _ENCODERS["added"]
-
-    def encoded(text: str) -> list[int]:
-        if not any(t in text for t in added):
-            return encode(text)
-        return [x for i, part in enumerate(parts.split(text)) if part for x in ([added[part]] if i % 2 else encode(part))]
-
-    return encoded
-
+from chorale.llm._tokens import encoder
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, keep_ids: bool, path: str | None) -> Iterator[pa.RecordBatch]:
-    encode = text_encoder(path)
+    own = encoder(path)
+    end = np.array([end_id], dtype="<u4")
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             which, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(part.column(1).to_pylist()):
-                tokens = array("I", encode(text) if text else ())
-                tokens.append(end_id)
-                raw = memoryview(np.asarray(tokens, dtype="<u4").tobytes())
+                tokens = np.concatenate([own.ids(text).astype("<u4", copy=False), end]) if text else end
                 n = len(tokens)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -86,45 +43,69 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, keep_
                     piece.append(p)
                     start.append(a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                    crc.append(zlib.crc32(tokens[a:b]))
                     if keep_ids:
-                        ids.append(np.frombuffer(raw[4 * a : 4 * b], dtype="<u4").astype(np.int32))
-            columns = [part.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                        ids.append(tokens[a:b].astype(np.int32))
+            columns = [
+                part.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+            ]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if keep_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _exact(gap: int, counts: np.ndarray, lengths: list[int], parts: int) -> tuple[int, ...] | None:
-    """Available lengths, at most `parts`, that sum to gap; larger ones first. lengths: the available ones, ascending."""
-    if gap > 0 and counts[gap]:
-        return (gap,)
-
-    def pair(rest: int, most: int) -> tuple[int, int] | None:
-        for i in range(bisect_left(lengths, min(rest, most + 1)) - 1, -1, -1):
-            a = lengths[i]
-            b = rest - a
-            if b > a:
-                return None
-            if b > 0 and counts[a] and counts[b] and (a != b or counts[a] > 1):
+class Sums:
+    """A hash index from sums to the combinations of one, two or three available lengths that have them.
+
+    Each sum holds its combination with the largest first length. Counts only fall, so an entry whose lengths have run
+    out is replaced by the next one below it, and an entry is never looked at twice: all refreshing together costs at
+    most capacity ** 2 steps for the pairs and as many for the triples.
+    """
+
+    def __init__(self, counts: np.ndarray, parts: int) -> None:
+        self.counts, self.parts = counts, parts
+        n = len(counts)
+        self.pairs, self.triples = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)  # the first length of a sum's entry
+        have = np.flatnonzero(counts)
+        for a in have.tolist():
+            sums = a + have[: np.searchsorted(have, a, side="right")]
+            self.pairs[sums[sums < n]] = a
+        some = np.flatnonzero(self.pairs)
+        for a in have.tolist():
+            sums = a + some[some < n - a]
+            self.triples[sums] = a
+
+    def _pair(self, total: int, but: int = 0) -> tuple[int, int] | None:
+        """Two available lengths with this sum, one of length `but` put aside."""
+        a = int(self.pairs[total])
+        while 2 * a >= total > 0 and a:
+            b = total - a
+            if b and self.counts[a] > (a == b) and self.counts[b]:
+                break
+            a -= 1
+        self.pairs[total] = a if 2 * a >= total else 0
+        while 2 * a >= total > 0 and a:  # entries that fail for `but` alone stay in the index
+            b = total - a
+            if b and self.counts[a] > (a == b) + (a == but) and self.counts[b] > (b == but):
                 return a, b
+            a -= 1
         return None
 
-    if parts > 1 and (found := pair(gap, gap)):
-        return found
-    for i in range(bisect_left(lengths, gap) - 1 if parts > 2 else -1, -1, -1):
-        a = lengths[i]
-        if 3 * a < gap:
-            return None
-        if not counts[a]:
-            continue
-        counts[a] -= 1
-        rest = pair(gap - a, a)
-        counts[a] += 1
-        if rest:
-            return a, *rest
-    return None
+    def find(self, total: int) -> tuple[int, ...] | None:
+        """Available lengths, at most `parts`, with this sum."""
+        if total > 0 and self.counts[total]:
+            return (total,)
+        if self.parts > 1 and (pair := self._pair(total)):
+            return pair
+        a = int(self.triples[total]) if self.parts > 2 else 0
+        while a:
+            if self.counts[a] and (pair := self._pair(total - a, a)):
+                break
+            a -= 1
+        self.triples[total] = a if self.parts > 2 else 0
+        return (a, *pair) if a else None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -142,24 +123,21 @@ def _planned(histogram: dict[int, int], capacity: int, parts: int) -> list[tuple
     if counts[capacity]:
         made.append(((capacity,), int(counts[capacity])))
         counts[capacity] = 0
-    lengths = np.flatnonzero(counts).tolist()
-    while lengths:
-        top = lengths[-1]
-        counts[top] -= 1
-        found = _exact(capacity - top, counts, lengths, parts)
-        counts[top] += 1
-        if found is None:
-            left[top] = int(counts[top])
-            counts[top] = 0
-            lengths.pop()
-            continue
-        pattern = (top, *found)
-        times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
-        made.append((pattern, times))
-        for x in pattern:
-            counts[x] -= times
-            if not counts[x] and x in lengths:
-                lengths.remove(x)
+    sums = Sums(counts, parts)
+    for top in range(capacity - 1, 0, -1):
+        while counts[top]:
+            counts[top] -= 1
+            found = sums.find(capacity - top)
+            counts[top] += 1
+            if found is None:  # nor will it later: counts only fall
+                left[top] = int(counts[top])
+                counts[top] = 0
+                break
+            pattern = (top, *found)
+            times = min(int(counts[x]) // pattern.count(x) for x in set(pattern))
+            made.append((pattern, times))
+            for x in pattern:
+                counts[x] -= times
     return made + _best_fit(left, capacity)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import itertools
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chorale.llm import chat, fingerprint, langid, mixing, neardup, packing, quality, queries, sharding, urlfilter, warc
+from chorale.llm import _tokens, chat, fingerprint, langid, mixing, neardup, packing, quality, queries, sharding, urlfilter, warc
 from chorale.llm._common import components, numbered, ranked_within
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +96,10 @@ def test_warc_refuses_false_magic_and_ends_in_zero():
     raw = b"junk" + warc.MAGIC + b"more" + zlib.compress(b"x") + warc.member(warc.record(1, "u", b"p", None))
     assert [warc.parsed(w)[1] for _, w in warc.scan(io.BytesIO(raw), 0, len(raw))] == [b"p"]
     assert len(list(warc.scan(io.BytesIO(big), 0, len(big)))) == 1
+    with pytest.raises(ValueError):
+        list(warc.scan(io.BytesIO(big[:-1000]), 0, len(big)))
+    with pytest.raises(ValueError):
+        list(warc.scan(io.BytesIO(warc.member(b"WARC/1.1 without an end")), 0, 99))
 
 
 def test_warc_odd_rows(spark):
@@ -104,6 +109,15 @@ def test_warc_odd_rows(spark):
     assert rows(warc.round_trip(df.limit(0))) == []
 
 
+def test_warc_shared_payloads_and_repeated_ids(spark):
+    table = [(None, f"u{i}", "shared") for i in range(50)] + [(i, "u", "shared") for i in range(300)] + [(7, "u", "other")] * 2 + [(8, "u", "other")] + [(None, "n", "alone")] * 3
+    df = spark.createDataFrame(table, "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows(warc.round_trip(df.repartition(9)))), key=repr)
+    want = [(None, 6, "revisit", 299)] * 50 + [(i, 6, "revisit", 299) for i in range(299)] + [(299, 6, "response", None)]
+    want += [(7, 5, "revisit", 8)] * 2 + [(8, 5, "response", None)] + [(None, 5, "response", None)] * 3
+    assert got == sorted(want, key=repr)
+
+
 def test_warc_long_urls(spark):
     long, wide = "http://x/" + "u" * 100_000, "http://x/" + "漢" * 20_000
     df = spark.createDataFrame([(1, "http://x/1", "same"), (2, "http://x/2", "same"), (3, long, "same"), (4, wide, "other")], "page_id long, url string, html string")
@@ -216,29 +230,78 @@ def test_plan_against_bounds():
     assert sum(n for _, n in packing.plan(dict(many), 1024)) <= 1.02 * sum(k * n for k, n in many.items()) / 1024
 
 
-def test_ids_equal_the_tokenizers():
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", "a", "  two  spaces \n\n tab\t", "l'été – ñandú 漢字 🙂👍🏽", "<|endoftext|> don't we'll", "x" * 5000, "1234567 \u00a0 \u3000 e\u0301", "\r\n \x0b\x0c \x85"]
-    for text in texts:
-        assert packing.encoder()(text) == t.encode(text, add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_ids_with_added_tokens(docs):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def test_ids_equal_the_tokenizers_on_whole_tables(spark):
+    t, own = tokenizer(), _tokens.encoder()
+    for r in rows(documents(spark, "/root/testdata/sf0.01")):
+        assert own.ids(r["text"]).tolist() == t.encode(r["text"], add_special_tokens=False).ids
+
+
+LONG_TEXTS = [" " * 100_000 + "a", "a" + "\n" * 100_000, "a" + " \n" * 60_000 + "b" + "\u3000" * 40_000 + " c", "x" * 200_000, "漢" * 50_000, "\x1c\x85 " * 20_000]
+
+
+def test_ids_of_long_unbroken_texts():
+    t, own = tokenizer(), _tokens.encoder()
+    for text in LONG_TEXTS:
+        assert own.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert len(own.ids(" " * 3_000_000)) == len(own.ids("é" * 3_000_000)) == 3_000_000
+
+
+_MARKS = (chat.TURN, chat.TEXT, chat.END)
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+@given(st.lists(st.one_of(st.sampled_from([*_MARKS, "<|endoftext|>", " ", "\n\n", "don't"]), st.text(max_size=12)), max_size=30))
+@settings(max_examples=200, deadline=None)
+def test_ids_and_offsets_equal_the_tokenizers(parts):
+    from tokenizers import AddedToken
+
+    text = "".join(parts)
+    t = tokenizer() if not _MARKED else _MARKED[0]
+    if not _MARKED:
+        t.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in _MARKS])
+        _MARKED.append(t)
+    want, own = t.encode(text, add_special_tokens=False), _tokens.encoder(None, _MARKS)
+    ids = own.ids(text)
+    assert ids.tolist() == want.ids
+    assert list(zip(*(x.tolist() for x in own.offsets(text, ids)), strict=True)) == want.offsets
+
+
+_MARKED: list = []
+
+
+def test_sums_hold_every_combination():
+    rng = random.Random(9)
+    for _ in range(150):
+        counts = np.array([0] + [rng.choice((0, 0, 1, 2)) for _ in range(30)], dtype=np.int64)
+        sums = packing.Sums(counts, 3)
+        for _ in range(25):
+            total = rng.randrange(1, 31)
+            have = [x for x in range(31) for _ in range(counts[x])]
+            some = any(sum(c) == total for k in (1, 2, 3) for c in itertools.combinations(have, k))
+            found = sums.find(total)
+            assert (found is not None) == some
+            if found:
+                assert sum(found) == total and all(counts[x] >= found.count(x) for x in found)
+                for x in found if rng.random() < 0.5 else ():
+                    counts[x] -= 1
+
+
+def test_ids_with_added_tokens(docs):
+    t = tokenizer()
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> \n", "<|endoftext|", "é <|endoftext|>\n\n 漢字 don't", "<|<|endoftext|>|>", "plain"]
     got = rows(packing.pack(docs([(i, x, "en", "web") for i, x in enumerate(texts)]), keep_ids=True))
     assert {r["doc_id"]: r["ids"] for r in got} == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
 
 
 def check_packing(got, texts, capacity=1024):
-    encode = packing.encoder()
+    t = tokenizer()
+    encode = lambda text: t.encode(text, add_special_tokens=False).ids
     held, places = defaultdict(list), defaultdict(list)
     for r in got:
         held[r["doc_id"]].append(r)
@@ -267,6 +330,7 @@ def test_packing(spark, sf_dir, docs, odd_texts):
     d = documents(spark, sf_dir)
     bins, total = check_packing(rows(packing.pack(d)), {r["doc_id"]: r["text"] for r in rows(d)})
     assert bins <= ceil(total / 1024) + 2
+    odd_texts = [*odd_texts, *LONG_TEXTS]
     odd = docs([(i, t, "en", "s") for i, t in enumerate(odd_texts)])
     check_packing(rows(packing.pack(odd)), dict(enumerate(odd_texts)))
     kept = rows(packing.pack(odd, keep_ids=True))
@@ -282,8 +346,6 @@ def test_packing(spark, sf_dir, docs, odd_texts):
 def test_viterbi_against_brute_force():
     rng = np.random.default_rng(3)
     tables = [rng.normal(size=(int(n), 3)).astype(np.float32) * 4 for n in rng.integers(1, 7, 25)]
-    import itertools
-
     for table, labels in zip(tables, langid.viterbi(tables, 2.0), strict=True):
         cost = lambda p: sum(table[t, x] for t, x in enumerate(p)) - 2.0 * sum(a != b for a, b in zip(p, p[1:], strict=False))
         assert cost(labels.tolist()) == pytest.approx(max(map(cost, itertools.product(range(3), repeat=len(table)))), abs=1e-4)
