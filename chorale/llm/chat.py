@@ -7,11 +7,12 @@ one. The rendered text is encoded once with offsets; turns and tokens are both s
 tokens of each assistant span, and these alone bear loss.
 
 Rows are dealt by conversation and streamed in the order of their turns. Since no token crosses a mark, a conversation of
-more than CHARS characters is encoded and written in parts of whole turns: one of any length takes bounded memory.
+more than CHARS characters is encoded and written in parts of whole turns, so memory holds one part. A single turn is
+held and encoded whole (Arrow bounds it at 2 GB), and a conversation, whose turns have an order, is read by one task.
 
 Defined results: null texts and roles are empty; null conversation ids are one conversation; turns that are null come
 first, equal ones in the order of role and text; repeated rows are turns of their own; extra columns are ignored; an empty table
-gives an empty table.
+gives an empty table. Ids and turns are whole numbers or cast to them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chorale.llm._common import width
+from chorale.llm._tokens import encoder
 
 #: This template's marks, and control strings of other templates, escaped like them.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -35,8 +37,6 @@ _PARTS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.DOTALL)
 CHARS = 1 << 20
 SCHEMA = "conv_id long, part int, text string, ids array<int>, loss_mask array<boolean>, starts array<int>, ends array<int>"
 
-_ENCODERS: dict[str, object] = {}
-
 
 def escape(s: str) -> str:
     return _CONTROL.sub(lambda m: m[0] + "~", s)
@@ -46,18 +46,6 @@ def unescape(s: str) -> str:
     return _ESCAPED.sub(r"\1", s)
 
 
-def encoder(path: str | None = None):
-    import public_tokenizers
-    from tokenizers import AddedToken, Tokenizer
-
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _ENCODERS:
-        t = Tokenizer.from_file(path)
-        t.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (TURN, TEXT, END)])
-        _ENCODERS[path] = t
-    return _ENCODERS[path]
-
-
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The rendered turns, and where each one's text lies."""
     out, spans, at = [], [], 0
@@ -71,22 +59,24 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def masked(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     """The tokens that lie in one of the spans; starts, ends and spans are sorted."""
-    mask = np.zeros(len(starts), dtype=bool)
-    for a, b in spans:
-        mask[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = True
-    return mask
+    edges = np.zeros(len(starts) + 1, dtype=np.int64)
+    a, b = np.array(spans, dtype=np.int64).reshape(-1, 2).T
+    first, last = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b, side="left")
+    some = first < last
+    np.add.at(edges, first[some], 1)
+    np.add.at(edges, last[some], -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 def under_mask(text: str, mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """The text under each run of masked tokens that lies between marks."""
-    out, runs = [], np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
-    for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
-        out.append(text[int(starts[a]) : int(ends[b - 1])])
-    return out
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    firsts, lasts = starts[edges[::2]].tolist(), ends[edges[1::2] - 1].tolist()
+    return [text[a:b] for a, b in zip(firsts, lasts, strict=True)]
 
 
 def _formatted(batches: Iterator[pa.RecordBatch], loss_roles: frozenset[str], path: str | None) -> Iterator[pa.RecordBatch]:
-    t = encoder(path)
+    own = encoder(path, (TURN, TEXT, END))
     kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     names = ["conv_id", "part", "text", "ids", "loss_mask", "starts", "ends"]
     rows: list[tuple] = []
@@ -95,11 +85,10 @@ def _formatted(batches: Iterator[pa.RecordBatch], loss_roles: frozenset[str], pa
 
     def close() -> None:
         text, spans = render(turns)
-        e = t.encode(text, add_special_tokens=False)
-        offsets = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-        starts, ends = offsets[:, 0].copy(), offsets[:, 1].copy()
+        ids = own.ids(text)
+        starts, ends = own.offsets(text, ids)
         mask = masked(starts, ends, [s for s, (role, _) in zip(spans, turns, strict=True) if role in loss_roles])
-        rows.append((now, part, text, np.array(e.ids, dtype=np.int32), mask, starts, ends))
+        rows.append((now, part, text, ids.astype(np.int32), mask, starts.astype(np.int32), ends.astype(np.int32)))
 
     def table() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -142,7 +131,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), formatted))
 
     for batch in batches:
-        for conv, part, text, mask, starts, ends in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "part", "text", "loss_mask", "starts", "ends")), strict=True):
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        lists = [get(c) for c in ("loss_mask", "starts", "ends")]
+        at = [x.offsets.to_numpy() for x in lists]
+        mask, starts, ends = (x.values.to_numpy(zero_copy_only=False) for x in lists)
+        for i, (conv, part, text) in enumerate(zip(*(get(c).to_pylist() for c in ("conv_id", "part", "text")), strict=True)):
             if part == 0:
                 if now is not None:
                     close()
@@ -150,7 +143,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role, body in read_back(text):
                 now[1] += 1
                 now[2].update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-            for piece in under_mask(text, np.array(mask, dtype=bool), np.array(starts), np.array(ends)):
+            own = [slice(x[i], x[i + 1]) for x in at]
+            for piece in under_mask(text, mask[own[0]], starts[own[1]], ends[own[2]]):
                 plain = unescape(piece)
                 now[3] += len(plain)
                 now[4].update(plain.encode("utf-8", "surrogatepass"))
@@ -165,4 +159,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digests(formatted: DataFrame) -> DataFrame:
     """What formatted rows hold, read back from their texts, offsets and masks. Parts of a conversation follow one another in
     their partition, as `format_conversations` leaves them."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.drop("ids").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
