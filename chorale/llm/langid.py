@@ -6,14 +6,15 @@ candidates to the languages that use its script; the word's score for a language
 the Viterbi path over a text's words, with a penalty for each switch, labels its spans. A document's language is the
 one whose spans hold most letters; its score is their share of all letters.
 
-A text keeps one language throughout, exactly as Viterbi would label it, when no stretch of words gains more than the
-penalty by leaving it (checked with a running maximum); only other texts are decoded step by step, many at a time.
+A text keeps one language throughout, exactly as Viterbi would label it, when all its words together gain no more than the
+penalty by leaving it; only other texts are decoded step by step, many at a time.
 
-Training reads at most `per_language` labelled rows of each language, those with the least hash of their id (labels
-are a set of languages, so tables of them are broadcast); the counts
-(at most languages * 3 * BUCKETS numbers) are summed by Spark. Every row is predicted from its text alone.
+Training reads at most `per_language` labelled rows of each language, those with the least hash of their id; the counts
+(at most 3 * BUCKETS numbers a language) are summed by Spark. Labels are a set of languages: tables with a row for each
+are broadcast, and more than LANGUAGES of them are refused with an error. Every row is predicted from its text alone.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. With no labelled row at all, every text is `und`.
+A row with a null id can't be drawn for training; it is predicted like any other.
 Repeated rows are predicted alike; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -32,6 +33,7 @@ BUCKETS = 1 << 15
 GRAMS = 3
 PENALTY = 12.0
 PER_LANGUAGE = 1500
+LANGUAGES = 512
 MIN_SCRIPT_SHARE = 0.01
 #: Where scripts begin and end, by code point (Unicode blocks).
 SCRIPTS = (
@@ -123,17 +125,22 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # a language's share of the hash range that holds about three times the ids wanted; only these are ranked, so a
     # language with a third of all rows is no larger a task than any other
     drawn = rows.select("lang", "id").withColumn("_u", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40))
-    sizes = drawn.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = drawn.join(F.broadcast(sizes), "lang").filter(F.col("_u") < 3.0 * per_language / F.col("_n"))
+    sizes = [(r["lang"], r["_n"]) for r in drawn.groupBy("lang").agg(F.count("*").alias("_n")).limit(LANGUAGES + 1).collect()]
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: not a set of languages")
+    table = labelled.sparkSession.createDataFrame(sizes, "lang string, _n long")
+    near = drawn.join(F.broadcast(table), "lang").filter(F.col("_u") < 3.0 * per_language / F.col("_n"))
     order = Window.partitionBy("lang").orderBy("_u", "id")
     chosen = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= per_language).select("id", "lang")
     # at most per_language ids for each language: small enough to broadcast, so texts don't move
     sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"], "left_semi")
-    counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")).collect()
-    languages = tuple(sorted({r["lang"] for r in counts}))
+    counts = sample.select("text", "lang").mapInArrow(_counted, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n"))
+    found = counts.toArrow()  # at most 3 * BUCKETS numbers a language, as arrays
+    names = found.column("lang").to_numpy()
+    languages, which = np.unique(names.astype(str), return_inverse=True) if len(names) else (names, names.astype(np.int64))
+    languages = tuple(languages.tolist())
     table = np.zeros((GRAMS * BUCKETS + len(NAMES), len(languages)))
-    for r in counts:
-        table[r["class"], languages.index(r["lang"])] = r["n"]
+    table[found.column("class").to_numpy(), which] = found.column("n").to_numpy()
     grams, scripts = table[: GRAMS * BUCKETS] + 0.5, table[GRAMS * BUCKETS :]
     for g in range(GRAMS):
         part = grams[g * BUCKETS : (g + 1) * BUCKETS]
@@ -167,9 +174,9 @@ def _word_scores(points: np.ndarray, ptr: np.ndarray, model: Model) -> tuple[np.
         a = b
     able = model.scripts[script_of[points[start]]]
     able |= ~able.any(axis=1, keepdims=True)
-    words[~able] = -1e4
     # a long word counts as one of twelve letters at most, so that no single token outweighs a passage
     words *= np.minimum(1, 12 / size)[:, None].astype(np.float32)
+    words[~able] = -np.inf
     return words, size, at, start
 
 
