@@ -7,7 +7,11 @@ one distributed aggregate over the table of (source, size, count), which is far
 taken in whole thousandths of words, so reruns agree to the bit.
 
 Rates become copies by carrying the rounding error along a source's documents, longest first, so that short ones even out
-what is left. Sources are dealt over blocks of at most about BLOCK documents by the hash of the id; each block carries its own error.
+what is left. Sources are dealt over blocks of about BLOCK documents by the hash of id, size and text; each block carries its
+own error and is streamed, so a block of any size (rows equal in all three share one) takes bounded memory.
+
+`mix` moves ids and sizes only; `mixed` gives the documents themselves and moves each once, so rows that share an id, or
+have none, get the very copies that were decided for them. Newton's iterations that don't meet the goals are an error.
 
 Targets: sources in the order of their code points, null last, weigh 3, 1, 2 in turn, share `share` of all sizes by
 weight, stop at `most` times their size, and what is above is reshared by weight until none is. That fixed
@@ -25,12 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chorale.llm._common import SPACES, materialize, numbered, slabs, streamed_groups, utf8, width
+from chorale.llm._common import SPACES, materialize, numbered, slabs, utf8, width
 
 BLOCK = 8192
 WEIGHTS = (3, 1, 2)
-ITERATIONS = 60
+ITERATIONS = 90
 TOLERANCE = 1e-6
 #: Tables of sources are broadcast up to so many rows; beyond, they are joined by shuffle.
 FEW = 100_000
@@ -91,11 +96,12 @@ def _step(table: DataFrame, most: float) -> DataFrame:
 
 
 def multipliers(histogram: DataFrame, goals: DataFrame, most: float) -> DataFrame:
-    """(source, lambda) that meet the goals, which lie above 0 and below what the sources can give at most."""
+    """(source, lambda) that meet the goals, which lie above 0 and below what the sources can give at most. A goal is met
+    within TOLERANCE and the sums' rounding, or where no smaller step is left; every third step halves the bracket."""
     start = goals.withColumns({"lambda": F.lit(0.0), "low": F.lit(-50.0), "high": F.lit(50.0)})
     state = materialize(start)
     few = state.count() <= FEW
-    for _ in range(ITERATIONS):
+    for i in range(ITERATIONS):
         at = state.select(F.col("source").alias("_s"), "mean", "lambda")
         joined = histogram.join(F.broadcast(at) if few else at, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         now = _step(joined, most)
@@ -104,36 +110,33 @@ def multipliers(histogram: DataFrame, goals: DataFrame, most: float) -> DataFram
         low = F.when(error < 0, F.col("lambda")).otherwise(F.col("low"))
         high = F.when(error < 0, F.col("high")).otherwise(F.col("lambda"))
         newton = F.col("lambda") - error / F.col("slope")
-        inside = (F.col("slope") > 0) & (newton > low) & (newton < high)
-        near = F.abs(error) <= TOLERANCE * F.col("target")
+        inside = (F.col("slope") > 0) & (newton > low) & (newton < high) & F.lit(i % 3 != 2)
+        near = (F.abs(error) <= TOLERANCE * F.col("target") + 0.001) | (high - low <= 1e-12)
         moved = F.when(near, F.col("lambda")).when(inside, newton).otherwise((low + high) / 2)
         state = materialize(both.select("source", "size", "target", "mean", moved.alias("lambda"), low.alias("low"), high.alias("high"), near.alias("near")))
         if state.filter("not near").isEmpty():
-            break
-    return state.select("source", "lambda")
+            return state.select("source", "lambda")
+    raise ValueError(f"{state.filter('not near').count()} sources miss their targets after {ITERATIONS} iterations")
 
 
 def _taken(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
-    """The rows of whole blocks with their copies."""
-    for table in streamed_groups(batches, ["_source", "_block"]):
-        batch = table.combine_chunks().to_batches()[0]
-        a, b, size, rate = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_source", "_block", "size", "_rate"))
-        copies, error, limit = np.zeros(len(size), dtype=np.int64), 0.0, int(most)
-        for i, (s, r) in enumerate(zip(size.tolist(), rate.tolist(), strict=True)):
-            if i and (a[i] != a[i - 1] or b[i] != b[i - 1]):
-                error = 0.0
-            if s:
-                due = r * s + error
-                copies[i] = min(max(int(due / s + 0.5), 0), limit)
-                error = due - copies[i] * s
+    """The rows, sorted by block, with their copies; the error is carried from row to row of a block."""
+    limit, last, error = int(most), None, 0.0
+    for batch in batches:
+        a, b, size, rate = (batch.column(batch.schema.get_field_index(c)).to_numpy().tolist() for c in ("_source", "_block", "size", "_rate"))
+        copies = np.zeros(len(size), dtype=np.int64)
+        for i, block in enumerate(zip(a, b, strict=True)):
+            if block != last:
+                last, error = block, 0.0
+            if size[i]:
+                due = rate[i] * size[i] + error
+                copies[i] = min(max(int(due / size[i] + 0.5), 0), limit)
+                error = due - copies[i] * size[i]
         yield batch.append_column("copies", pa.array(copies))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for every row."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col).cast("string")).alias("size")))
+def _rated(sized: DataFrame, share: float, most: float) -> DataFrame:
+    """(_s, source_size, target, mean, docs, lambda) of every source of sized(source, size)."""
     histogram = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     sources = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("docs"))
     goals = targets(sources.select("source", "size"), share, most)
@@ -142,17 +145,40 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     open_goals = counted.filter((F.col("target") > 0) & (F.col("target") < most * F.col("size")))
     solved = multipliers(histogram, open_goals.select("source", "size", "target", "mean"), most)
     full = counted.join(solved.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    per = materialize(full.select(F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", "mean", "docs", F.coalesce("lambda", F.lit(0.0)).alias("lambda")))
-    joined = sized.join(F.broadcast(per) if per.count() <= FEW else per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    exact = F.when(F.col("target") >= most * F.col("source_size"), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(F.least(F.col("lambda") * F.col("size") / F.col("mean"), F.lit(50.0)))))
-    rate = F.floor(exact * 1e6 + 0.5) / 1e6
-    blocks = F.ceil(F.col("docs") / BLOCK)
-    dealt = joined.select(
-        "doc_id", "source", "size", "source_size", "target", rate.alias("_rate"),
-        F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("_source"),
-        F.pmod(F.xxhash64("doc_id", "size"), blocks).cast("long").alias("_block"),
-    )
-    ordered = dealt.repartition(width(spark), "_source", "_block").sortWithinPartitions("_source", "_block", F.desc("size"), "doc_id")
-    schema = f"doc_id {kind}, source string, size long, source_size long, target double, _rate double, _source long, _block long, copies long"
-    out = ordered.mapInArrow(lambda b: _taken(b, most), schema)
+    return materialize(full.select(F.col("source").alias("_s"), F.col("size").alias("source_size"), "target", "mean", "docs", F.coalesce("lambda", F.lit(0.0)).alias("lambda")))
+
+
+def _copied(rows: DataFrame, per: DataFrame, most: float) -> DataFrame:
+    """rows(doc_id, source, size, _hash, ...) with source_size, target and copies."""
+    joined = rows.join(F.broadcast(per) if per.count() <= FEW else per, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    tilted = F.least(F.lit(most), F.exp(F.least(F.col("lambda") * F.col("size") / F.col("mean"), F.lit(50.0))))
+    exact = F.when(F.col("target") >= most * F.col("source_size"), F.lit(most)).otherwise(tilted)
+    dealt = joined.withColumns({
+        "_rate": F.floor(exact * 1e6 + 0.5) / 1e6,
+        "_source": F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()),
+        "_block": F.pmod(F.xxhash64("doc_id", "size", "_hash"), F.ceil(F.col("docs") / BLOCK)).cast("long"),
+    }).drop("mean", "docs", "lambda")
+    order = ["_source", "_block", F.desc("size"), "doc_id", "_hash"]
+    ordered = dealt.repartition(width(rows.sparkSession), "_source", "_block").sortWithinPartitions(*order)
+    schema = T.StructType([*ordered.schema.fields, T.StructField("copies", T.LongType())])
+    return ordered.mapInArrow(lambda b: _taken(b, most), schema)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("_hash")]
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, taken) for every row."""
+    sized = materialize(docs.select(*_sized(docs, id_col, text_col, source_col)))
+    out = _copied(sized, _rated(sized.select("source", "size"), share, most), most)
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, 0 to `most` times."""
+    columns = _sized(docs, id_col, text_col, source_col)
+    per = _rated(materialize(docs.select(*columns[1:3])), share, most)
+    out = _copied(docs.select(F.struct(*docs.columns).alias("_row"), *columns), per, most).filter("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
