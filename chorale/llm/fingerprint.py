@@ -2,16 +2,22 @@
 
 A text's code points are hashed once into two prefix arrays, modulo the primes P and Q. A span's hash is then two
 subtractions and two products, so any two spans are compared in constant time, and the longest common extension of
-two positions is found by binary search. The fingerprint holds the text's length, its whole hash, and the SKETCH least
-distinct hashes of its spans of WINDOW code points (a shorter text is one span): equal texts have equal
-fingerprints, and the share of common values among the least of both estimates the likeness of two texts.
+two positions is found by binary search. The fingerprint holds the text's length, its whole hash, and a sketch for each of
+its layers: the SKETCH least distinct hashes of its spans of a window's length (a shorter text is one span). All texts
+have a layer of WINDOW code points; short ones have finer layers besides (LAYERS). Equal texts have equal
+fingerprints; the share of common values among the least of both, in the finest layer that two fingerprints have in
+common, estimates the likeness of two texts.
+
+Every row also gets what span equality and common extensions say of its edited text and of the next one: how many
+code points the text and its edited form have in common from the start, how many the text and the next one, and
+whether the edited text's end is the next one's start.
 
 `with_next` gives every row the row after it in descending id. Rows are dealt over ranges of ids; each range gets a copy
 of the next range's first row, so the texts move once and no task holds more than a row and its neighbour.
 
 Defined results: a null text is empty; the empty text has an empty sketch and likeness 1 to itself alone. Repeated rows and
 rows of one id follow one another in the order of their texts. Null ids come last. A table of one row is its own
-neighbour. Extra columns are ignored; an empty table gives an empty table.
+neighbour. Extra columns are ignored; an empty table gives an empty table. Ids are whole numbers or cast to them.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from chorale.llm._common import mixed, width
 
 WINDOW = 24
 SKETCH = 64
+#: (window, the texts of fewer code points that have this layer too), ever finer.
+LAYERS = ((4, 512), (1, 8))
 #: Two primes and a base for each.
 P, Q = 2147483647, 2147483629
 BASES = (1103515245, 1566083941)
@@ -102,8 +110,13 @@ def points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def span_values(h: PrefixHash) -> np.ndarray:
-    return mixed(h.spans(min(WINDOW, h.n))) if h.n else np.zeros(0, dtype=np.uint64)
+def windows(n: int) -> list[int]:
+    """The windows of a text of n code points, coarse to fine."""
+    return [WINDOW, *(window for window, below in LAYERS if n < below)]
+
+
+def span_values(h: PrefixHash, window: int) -> np.ndarray:
+    return mixed(h.spans(min(window, h.n))) if h.n else np.zeros(0, dtype=np.uint64)
 
 
 def least(values: np.ndarray) -> np.ndarray:
@@ -117,16 +130,18 @@ def least(values: np.ndarray) -> np.ndarray:
     return np.unique(values)[:SKETCH]
 
 
-def written(h: PrefixHash, sketch: np.ndarray) -> str:
+def written(h: PrefixHash, sketches: list[np.ndarray]) -> str:
     a, b = h.whole()
-    return f"{h.n:x}.{a:08x}{b:08x}." + sketch.astype(">u8").tobytes().hex()
+    return ".".join([f"{h.n:x}", f"{a:08x}{b:08x}", *(s.astype(">u8").tobytes().hex() for s in sketches)])
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of common values among the least of both sketches; 1 for equal fingerprints."""
+    """0 to 1: the share of common values among the least of both sketches of the finest common layer; 1 for equal
+    fingerprints."""
     if a == b:
         return 1.0
-    x, y = ({s[i : i + 16] for i in range(0, len(s), 16)} for s in (a.rpartition(".")[2], b.rpartition(".")[2]))
+    layers = list(zip(a.split(".")[2:], b.split(".")[2:], strict=False))[-1]
+    x, y = ({s[i : i + 16] for i in range(0, len(s), 16)} for s in layers)
     if not x or not y:
         return 0.0
     both = sorted(x | y)[: max(len(x), len(y))]
@@ -140,20 +155,30 @@ class Print:
         self.text = text or ""
         self.points = points(self.text)
         self.hash = PrefixHash(self.points)
-        self.values = span_values(self.hash)
-        self.fingerprint = written(self.hash, least(self.values))
+        self.values = span_values(self.hash, WINDOW)
+        finer = [span_values(self.hash, w) for w in windows(self.hash.n)[1:]]
+        self.fingerprint = written(self.hash, [least(v) for v in (self.values, *finer)])
 
-    def edited(self, other: str) -> tuple[str, str]:
-        """The text with its last third replaced by the start of other, and its fingerprint; the kept part's hashes are
+    def edited(self, other: str) -> tuple[str, PrefixHash, str]:
+        """The text with its last third replaced by the start of other, its hash and fingerprint; the kept part's hashes are
         taken over."""
         n = self.hash.n
         kept = n - n // 3
         text = self.text[:kept] + other[: n // 3]
         h = PrefixHash(points(text), self.hash, kept)
-        if h.n < WINDOW or n < WINDOW or kept < WINDOW:
-            return text, written(h, least(span_values(h)))
-        old = kept - WINDOW + 1
-        return text, written(h, least(np.concatenate([self.values[:old], mixed(h.spans(WINDOW, old))])))
+        if min(h.n, n, kept) < WINDOW:
+            values = span_values(h, WINDOW)
+        else:
+            old = kept - WINDOW + 1
+            values = np.concatenate([self.values[:old], mixed(h.spans(WINDOW, old))])
+        finer = [span_values(h, w) for w in windows(h.n)[1:]]
+        return text, h, written(h, [least(v) for v in (values, *finer)])
+
+
+KINDS = {
+    "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(),
+    "near_edited": pa.float64(), "near_next": pa.float64(), "common_edited": pa.int64(), "common_next": pa.int64(), "edited_by_next": pa.bool_(),
+}
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +187,17 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple | None = None
 
     def done(one: Print, following: Print) -> tuple:
-        text, edited = one.edited(following.text)
-        return one.hash.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), one.fingerprint, edited, likeness(one.fingerprint, edited), likeness(one.fingerprint, following.fingerprint)
+        text, h, edited = one.edited(following.text)
+        kept = one.hash.n - one.hash.n // 3
+        return (
+            one.hash.n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), one.fingerprint, edited,
+            likeness(one.fingerprint, edited), likeness(one.fingerprint, following.fingerprint),
+            one.hash.common_extension(0, h, 0), one.hash.common_extension(0, following.hash, 0), h.equal(kept, following.hash, 0, h.n - kept),
+        )
 
     def table() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        columns = zip(zip(*rows, strict=True), KINDS.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], list(KINDS))
 
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -187,7 +217,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_edited, common_next and
+    edited_by_next for every row."""
     spark = docs.sparkSession
     n = 2 * width(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -207,4 +238,5 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     )
     dealt = copies.select("doc_id", "text", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("_place")).select("_place.*", "doc_id", "text")
     sorted_rows = dealt.repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_halo", F.col("doc_id").desc_nulls_last(), "text")
-    return sorted_rows.mapInArrow(_prints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return sorted_rows.mapInArrow(_prints, schema + ", common_edited long, common_next long, edited_by_next boolean")
