@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chorale.llm._common import free
+
 RULES = 200_000
 
 
@@ -90,28 +92,33 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(rest[0], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), rest[1]
 
 
-def _judge(batches: Iterator[pa.RecordBatch], trie) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], trie, rank_name: str) -> Iterator[pa.RecordBatch]:
     root = trie.value
     for batch in batches:
         get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
-        rank, rule, verdict = get("_rank"), get("rule"), get("verdict")
-        for i, (host, path) in enumerate(zip(get("host"), get("path"), strict=True)):
-            if found := match(root, host, path):
-                new = [found[0], len(found[1].path), found[1].verdict == "block"]
-                if rank[i] is None or new > rank[i]:
-                    rank[i], rule[i], verdict[i] = new, str(found[1]), found[1].verdict
-        keep = batch.drop_columns(["rule", "verdict", "_rank"])
-        yield keep.append_column("rule", pa.array(rule, pa.string())).append_column("verdict", pa.array(verdict, pa.string())).append_column("_rank", pa.array([None if r is None else [int(x) for x in r] for r in rank], pa.list_(pa.int32())))
+        rank, rule, verdict = get(rank_name), get("rule"), get("verdict")
+        known: dict[tuple[str, str], tuple | None] = {}  # each distinct host and path of a batch is looked up once
+        for i, place in enumerate(zip(get("host"), get("path"), strict=True)):
+            if place not in known:
+                found = match(root, *place)
+                known[place] = found and ([found[0], len(found[1].path), int(found[1].verdict == "block")], str(found[1]), found[1].verdict)
+            if (new := known[place]) and (rank[i] is None or new[0] > rank[i]):
+                rank[i], rule[i], verdict[i] = new
+        out = batch.drop_columns(["rule", "verdict", rank_name])
+        for name, column, kind in (("rule", rule, pa.string()), ("verdict", verdict, pa.string()), (rank_name, rank, pa.list_(pa.int32()))):
+            out = out.append_column(name, pa.array(column, kind))
+        yield out
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], *, url_col: str = "url", default: str = "allow") -> DataFrame:
-    """pages with host, path, rule and verdict; columns of these names are replaced."""
+    """pages with host, path, rule and verdict; columns of these names are replaced, all others kept."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    out = pages.withColumns({"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string"), "_rank": F.lit(None).cast("array<int>")})
-    columns = [c for c in out.columns if c not in ("rule", "verdict", "_rank")]
-    out = out.select(*columns, "rule", "verdict", "_rank")
+    rank = free(pages, "_rank")
+    none = F.lit(None)
+    out = pages.withColumns({"host": host, "path": path, "rule": none.cast("string"), "verdict": none.cast("string"), rank: none.cast("array<int>")})
+    out = out.select(*[c for c in out.columns if c not in ("rule", "verdict", rank)], "rule", "verdict", rank)
     for at in range(0, len(rules), RULES):
         trie = spark.sparkContext.broadcast(build(rules[at : at + RULES]))
-        out = out.mapInArrow(lambda b, t=trie: _judge(b, t), out.schema)
-    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("_rank")
+        out = out.mapInArrow(lambda b, t=trie: _judge(b, t, rank), out.schema)
+    return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop(rank)
