@@ -6,7 +6,7 @@ shard p mod shards and slot p div shards: counts differ by one at most, slots ha
 row number can be computed, or traced back, without the data. Only ids, sizes and checksums move; texts stay.
 
 Defined results: a null text has size `overhead` and checksum 0; null ids come first; repeated rows are rows of their
-own (equal ones may swap numbers); extra columns are ignored; an empty table gives an empty table.
+own (equal ones may swap numbers, and those equal in all three lie in one range of the numbering: three numbers a row); extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ def shard(docs: DataFrame, *, shards: int, key: int = 1, id_col: str = "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    rows = docs.count()
     ordered = numbered(meta, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "row_number")
+    rows = (ordered.agg(F.max("row_number")).first()[0] or 0) + 1  # of the table that numbering wrote, not of the input
     schema = f"doc_id {meta.schema['doc_id'].dataType.simpleString()}, size long, text_crc32 long, shard int, slot long"
     dealt = ordered.mapInArrow(lambda b: _deal(b, rows, shards, key), schema)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
