@@ -33,8 +33,8 @@ m AS (SELECT d.doc_id, d.source, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coale
 f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM f GROUP BY 1), s AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS sq FROM h),
 q AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq - mean * mean, 1e-9) - 1, 1.0), 1e6) AS strength FROM s),
-bad AS (SELECT source, (f + mean * strength) / (n + strength) > {quality.MAX_HOST_RATE} AS bad FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source""",
+bad AS (SELECT source, (f + mean * strength) / (n + strength) AS rate, (f + mean * strength) / (n + strength) > {quality.MAX_HOST_RATE} AS bad FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept, floor(rate * 1e6 + 0.5) / 1e6 AS host_rate FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source""",
     "op9_urlfilter": f"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_UPPER}, {_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u), r(verdict, rhost, rpath) AS (VALUES {_RULES}),
 m AS (SELECT page_id, rhost || rpath AS rule, verdict FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)

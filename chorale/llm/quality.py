@@ -3,7 +3,8 @@
 Each whole text is measured; a document fails the base rules when it has too few words, or too many of them lie in
 repeated three-word windows. Failures are counted by host (one pre-aggregated row per host), the hosts' failure rates
 are shrunk towards the corpus by a beta prior fitted to the hosts by moments (weighted by documents), and every
-document of a host whose shrunk rate exceeds max_host_rate is rejected as well.
+document of a host whose shrunk rate exceeds max_host_rate is rejected as well. `measure` reports each row's host's
+shrunk rate beside the verdict, so other cuts need no second run.
 
 Defined results: a null or blank text has no words and fails; documents without a host (null) are one host; repeated
 rows count each time; extra columns are ignored by `measure` and kept by `filtered`; an empty table gives an empty table.
@@ -22,8 +23,9 @@ from chorale.llm._common import free, hashed_words, materialize, slabs, utf8
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
-#: Rejected hosts are broadcast up to so many; beyond, they are joined by shuffle.
+#: Tables of hosts are broadcast up to so many rows; beyond, they are joined by shuffle, each host dealt over SALTS parts.
 BROADCAST_HOSTS = 100_000
+SALTS = 32
 #: Fixed values.
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -87,8 +89,8 @@ def _failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def rejected_hosts(judged: DataFrame, *, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """(host, rate) of the hosts of judged(host, failed) whose shrunk failure rate exceeds max_rate."""
+def host_rates(judged: DataFrame) -> DataFrame:
+    """(host, rate) of every host of judged(host, failed): its shrunk failure rate."""
     hosts = materialize(judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("f")))
     s = hosts.agg(F.sum("n").alias("n"), F.sum("f").alias("f"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("ff")).first()
     if not s["n"]:
@@ -97,34 +99,32 @@ def rejected_hosts(judged: DataFrame, *, max_rate: float = MAX_HOST_RATE) -> Dat
     variance = max(s["ff"] / s["n"] - mean * mean, 1e-9)
     strength = min(max(mean * (1 - mean) / variance - 1, 1.0), 1e6)
     rate = (F.col("f") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.select("host", rate.alias("rate")).filter(F.col("rate") > max_rate)
+    return hosts.select("host", rate.alias("rate"))
 
 
-def _without_hosts(rows: DataFrame, host: str, bad: DataFrame) -> DataFrame:
-    """rows without those of rejected hosts, which are broadcast below a checked number."""
-    name = free(rows, "_host")
-    bad = materialize(bad.select(F.col("host").alias(name)))
-    few = bad.count() <= BROADCAST_HOSTS
-    return rows.join(F.broadcast(bad) if few else bad, rows[host].eqNullSafe(bad[name]), "left_anti")
+def _by_host(rows: DataFrame, host: str, hosts: DataFrame, how: str) -> DataFrame:
+    """rows joined to hosts, which has other column names. A host of any share of the rows fills no task: hosts are broadcast below
+    a checked number, and else each is dealt over SALTS parts."""
+    hosts = materialize(hosts)
+    name, salt, part = hosts.columns[0], free(rows, "_salt"), free(rows, "_part")
+    if hosts.count() <= BROADCAST_HOSTS:
+        return rows.join(F.broadcast(hosts), rows[host].eqNullSafe(hosts[name]), how)
+    dealt = hosts.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, salted[host].eqNullSafe(dealt[name]) & (F.col(salt) == F.col(part)), how).drop(salt, part)
 
 
-def _with_verdicts(rows: DataFrame, host: str, bad: DataFrame) -> DataFrame:
-    """rows with _bad: whether the host is rejected. Rejected hosts are broadcast below a checked number."""
-    bad = materialize(bad.select(F.col("host").alias("_host"), F.lit(True).alias("_bad")))
-    few = bad.count() <= BROADCAST_HOSTS
-    return rows.join(F.broadcast(bad) if few else bad, rows[host].eqNullSafe(bad["_host"]), "left").withColumn("_bad", F.coalesce("_bad", F.lit(False))).drop("_host")
-
-
-def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, the measures, base_failed, kept) for every row."""
+def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """(doc_id, the measures, base_failed, kept, host_rate) for every row."""
     m = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), _measures(F.col(text_col).cast("string")).alias("m"))
     base = materialize(m.select("doc_id", "host", "m.*").withColumn("base_failed", _failed()))
-    bad = rejected_hosts(base.select("host", F.col("base_failed").alias("failed")))
-    out = _with_verdicts(base, "host", bad)
-    return out.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & ~F.col("_bad")).alias("kept"))
+    rates = host_rates(base.select("host", F.col("base_failed").alias("failed")))
+    out = _by_host(base, "host", rates.select(F.col("host").alias("_host"), "rate"), "left")
+    kept = ~F.col("base_failed") & (F.col("rate") <= max_rate)
+    return out.select("doc_id", *MEASURES, "base_failed", kept.alias("kept"), (F.floor(F.col("rate") * 1e6 + 0.5) / 1e6).alias("host_rate"))
 
 
-def filtered(docs: DataFrame, *, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def filtered(docs: DataFrame, *, text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """docs without the rejected rows. Texts are measured twice, which costs less than moving them to join verdicts."""
 
     def failed(text: pa.Array) -> pa.Array:
@@ -133,5 +133,6 @@ def filtered(docs: DataFrame, *, text_col: str = "text", host_col: str = "source
         return pa.array((words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words))
 
     test = F.arrow_udf(failed, BooleanType())(F.col(text_col).cast("string"))
-    bad = rejected_hosts(docs.select(F.col(host_col).alias("host"), test.alias("failed")))
-    return _without_hosts(docs.filter(~test), host_col, bad)
+    rates = host_rates(docs.select(F.col(host_col).alias("host"), test.alias("failed")))
+    bad = rates.filter(F.col("rate") > max_rate).select(F.col("host").alias(free(docs, "_host")))
+    return _by_host(docs.filter(~test), host_col, bad, "left_anti")
