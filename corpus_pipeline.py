@@ -22,22 +22,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass the base rules and whose host isn't rejected. Null and blank texts fail; documents
+    without a source are one host; repeated rows and null ids are judged row by row."""
     return quality.filtered(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near copies and of each id, that of the smallest id (of its rows, that of the least text);
+    among rows without an id, one of each group. Rows with a null id and no words all stay."""
     return neardup.deduplicated(docs, percent=DUPLICATE_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, 0 to 2 times."""
-    key, times = free(docs, "_id"), free(docs, "_copies")
-    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times)).filter(F.col(times) > 0)
-    rows = docs.join(copies.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(key)))
-    return rows.withColumn(free(rows, "_copy"), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
+    """Every row as often as the mix takes it, 0 to 2 times; rows that share an id, or have none, are mixed as rows of their own."""
+    return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row's tokens, with its place in a sequence; a null or empty text is the end id alone."""
     return packing.pack(docs)
 
 
