@@ -29,10 +29,22 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "near_dedup":
             assert ids(out) == sorted(r["doc_id"] for r in neardup.near_duplicates(docs, percent=80).filter("kept").collect())
         if name == "source_mix":
-            assert Counter(ids(out)) == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]})
+            want = Counter()
+            for r in mixing.mix(docs).collect():
+                want[r["doc_id"]] += r["copies"]
+            assert Counter(ids(out)) == +want
         docs = out
 
 
+def test_source_mix_of_null_and_repeated_ids(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
+    docs = docs.selectExpr("case when doc_id < 40 then null when doc_id < 50 then 7 else doc_id end doc_id", "text", "lang", "source", "n_chars")
+    planned = mixing.mix(docs).collect()
+    out = corpus_pipeline.source_mix(spark, docs, sf_dir)
+    assert out.count() == sum(r["copies"] for r in planned)
+    assert out.filter("doc_id is null").count() == sum(r["copies"] for r in planned if r["doc_id"] is None)
+
+
 CLASHES = ("_id", "_copies", "_copy", "_gone", "_host", "_bad", "_failed", "_lang_found", "kept", "size", "copies", "component_id", "rank", "Lang_Pred")
 
 
