@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 from math import ceil
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -651,9 +652,11 @@ def test_near_duplicates(spark, sf_dir, docs, odd_texts, percent, monkeypatch):
     texts |= {10**6 + i: t for i, t in enumerate([*odd_texts, "A b C", "a B c", "x y z", *near_copies(60, 1), *near_copies(25, 2, 15)])}
     df = docs([(i, t, None, None) for i, t in texts.items()])
     want = plain_components(texts, percent)
-    for bucket, shingles in ((neardup.BUCKET, neardup.SHINGLES), (7, 1500)):  # small tiles: every group is dealt over many
-        monkeypatch.setattr(neardup, "BUCKET", bucket)
-        monkeypatch.setattr(neardup, "SHINGLES", shingles)
+    for bucket, group, shingles, few in ((neardup.BUCKET, neardup.GROUP, neardup.SHINGLES, neardup.FEW), (7, 5, 1500, 0)):  # small tiles: groups are dealt over many
+        if percent == 80 and few == 0:
+            continue
+        for name, value in (("BUCKET", bucket), ("GROUP", group), ("SHINGLES", shingles), ("FEW", few)):
+            monkeypatch.setattr(neardup, name, value)
         got = {r["doc_id"]: r for r in rows(neardup.near_duplicates(df, percent=percent))}
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
         assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
@@ -691,6 +694,57 @@ def test_near_duplicates_of_null_and_repeated_ids(spark, docs):
     assert len(nameless) == 3 and sum(not t for t in nameless) == 2 and nameless.count(chain[1]) == 0
 
 
+def test_large_groups_in_parts(spark, docs, monkeypatch):
+    """One group whose links hold only through chains and several bodies: pivots settle some rows, chunks the rest."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    texts, now = [], base[:]
+    for _ in range(70):  # a chain: each is near the one before, the ends are far apart
+        now = now[:]
+        for _ in range(3):
+            now[rng.randrange(300)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(now))
+    for seed in range(12):  # copies of the base too far from each other, some with near copies of their own
+        own = [w if rng.random() > 0.05 else f"u{rng.randrange(10**6)}" for w in base]
+        texts += [" ".join(own), " ".join([*own[:-1], f"t{seed}"])]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    table = dict(zip(ids, texts, strict=True))
+    want = plain_components(table, 85)
+    monkeypatch.setattr(neardup, "GROUP", 6)
+    monkeypatch.setattr(neardup, "BUCKET", 5)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    monkeypatch.setattr(neardup, "ROUNDS", 3)
+    monkeypatch.setattr(neardup, "LEFT", 3)
+    got = {r["doc_id"]: r["component_id"] for r in rows(neardup.near_duplicates(docs([(i, t, None, None) for i, t in table.items()]), percent=85))}
+    assert got == {i: c for i, (_, c) in want.items()} and len(set(got.values())) > 3
+
+
+def test_spanning_links_connect_what_hits_connect():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        hits = rng.random((6, 20)) < 0.12
+
+        def parts(links):
+            name = {}
+            for a, b in links:
+                x, y = name.get(a, {a}), name.get(b, {b})
+                for z in (whole := x | y):
+                    name[z] = whole
+            return {frozenset(x) for x in name.values()}
+
+        q, other = neardup.spanning(hits)
+        got = parts([(("q", a), ("q", -1 - b) if b < 0 else ("r", b)) for a, b in zip(q.tolist(), other.tolist(), strict=True)])
+        assert got == parts([(("q", a), ("r", b)) for a, b in zip(*(x.tolist() for x in np.nonzero(hits)), strict=True)])
+        assert len(q) <= hits.any(axis=0).sum() + 6 * 20
+
+
+def test_pivots_body():
+    entry = lambda mask, body, n: {"mask": mask, "body": body, "n": n}
+    groups = [[entry(1, False, 3), entry(6, False, 2), entry(2, False, 2)], [entry(1, False, 9), entry(2, True, 1), entry(6, False, 1)], [entry(1, False, 1)], [entry(3, False, 1), entry(6, True, 1), entry(8, False, 9)]]
+    assert neardup._main(pa.array(groups)).to_pylist() == [6, 6, 1, 7]
+
+
 def test_signature_guarantee():
     assert neardup.chunks_for(85) == 8 and neardup.chunks_for(80) == 11
     rng = np.random.default_rng(1)
