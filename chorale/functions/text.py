@@ -38,6 +38,9 @@ MOVES = (
     ("arrival", "home|got home|made it|on my way|omw|leaving|heading|headed|arrived|there yet|almost there|at work|at school"),
     ("status", "i'?m|i am|i just|just got|finished|woke up|going to|i think|i was"),
 )
+#: How questions begin, what an object is called, and apologies that only open a question of logistics.
+OBJECTS = "photo|picture|pic|screenshot|link|look at|lookit|sent you"
+LOGISTICS_APOLOGY = r"sorry[,.!?]?\s+(?:when|where|what time|which|can you|could you|did you|is dinner|are we)"
 QUESTION_OPENERS = "what|when|where|who|why|how|do you|did you|are you|can you|would you|could you"
 
 
@@ -97,8 +100,8 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def lexicon_match(text: Column, kind: str) -> Column:
-    """A word of the lexicon that isn't negated; else, unless a negated one occurs, one of its phrases. An apology in a
-    matter of logistics is no repair."""
+    """A word of the lexicon that isn't negated; else, unless a negated one occurs, one of its phrases. An apology that a
+    question of logistics follows directly is no repair."""
     words, phrases = LEXICONS[kind]
     tagged = negated(base_tokens(text, 1, 40))
     plain = F.arrays_overlap(tagged, F.array(*[F.lit(w) for w in words]))
@@ -106,7 +109,7 @@ def lexicon_match(text: Column, kind: str) -> Column:
     phrase = has(text, "|".join(phrases)) if phrases else F.lit(False)
     out = F.when(plain, True).when(against, False).otherwise(phrase)
     if kind == "repair":
-        out = F.when(F.lower(text).rlike("^sorry") & has(text, "when|where|what time|dinner|pickup|meet"), False).otherwise(out)
+        out = F.when(has(text, LOGISTICS_APOLOGY), False).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
@@ -119,7 +122,7 @@ def move(text: Column, has_attachment: Column) -> Column:
     body = F.coalesce(text, F.lit(""))
     rules = [((F.trim(body) == "") & has_attachment, "object")]
     for kind, pattern in MOVES:
-        test = is_question(body) if kind == "question" else (has_attachment | has(body, "photo|picture|pic|screenshot|link|look at|lookit|sent you") | F.lower(body).rlike("https?://")) if kind == "object" else has(body, pattern)
+        test = is_question(body) if kind == "question" else (has_attachment | has(body, OBJECTS) | F.lower(body).rlike("https?://")) if kind == "object" else has(body, pattern)
         rules.append((test, kind))
     return reduce(lambda out, rule: out.when(*rule), rules[1:], F.when(*rules[0])).otherwise("ambient")
 

@@ -64,11 +64,13 @@ def runs(m: DataFrame) -> DataFrame:
     return islands(m, F.lag("is_from_me").over(ordered()) != F.col("is_from_me"), "run")
 
 
-def next_other(m: DataFrame) -> DataFrame:
-    """m with the time of the other sender's next message: a running last value in reverse order, so linear."""
+def next_other(m: DataFrame, *also: str) -> DataFrame:
+    """m with the time of the other sender's next message, and further columns of it as other_<name>: a running last value in
+    reverse order, so linear."""
     back = Window.partitionBy("chat_id").orderBy(F.desc("ts"), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda who: F.last(F.when(F.col("is_from_me") == who, F.col("ts")), ignorenulls=True).over(back)
-    return m.withColumns({"_me": last(1), "_them": last(0)}).withColumn("other_ts", F.when(F.col("is_from_me") == 1, F.col("_them")).otherwise(F.col("_me"))).drop("_me", "_them")
+    last = lambda who: F.last(F.when(F.col("is_from_me") == who, F.struct("ts", *also)), ignorenulls=True).over(back)
+    both = m.withColumns({"_me": last(1), "_them": last(0)}).withColumn("_other", F.when(F.col("is_from_me") == 1, F.col("_them")).otherwise(F.col("_me")))
+    return both.withColumns({f"other_{c}": F.col(f"_other.{c}") for c in ("ts", *also)}).drop("_me", "_them", "_other")
 
 
 def following(m: DataFrame, seconds: int) -> Window:

@@ -61,12 +61,16 @@ def move_paths3(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("lift", js_round(lift)).filter("lift >= 1.25").select(F.concat_ws(" > ", "move", "b", "c").alias("path"), "n", "lift", js_round(score, 4).alias("score"))
 
 
+#: Fixed value: the longest context.
+CONTEXT = 8
+
+
 def next_move_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """The likeliest next move after each context of two to four moves."""
+    """The likeliest next move after each context of two to eight moves."""
     w = Window.partitionBy("chat_id", "episode").orderBy("at")
     m = _moves(spark, d)
-    recent = F.collect_list("move").over(w.rowsBetween(-4, -1))
-    c = m.select("move", recent.alias("past")).withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(4)))).filter(F.size("past") >= F.col("k"))
+    recent = F.collect_list("move").over(w.rowsBetween(-CONTEXT, -1))
+    c = m.select("move", recent.alias("past")).withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(CONTEXT)))).filter(F.size("past") >= F.col("k"))
     c = c.groupBy(F.array_join(F.slice("past", -F.col("k"), F.col("k")), " > ").alias("context"), "move").agg(F.count("*").alias("n"))
     by = Window.partitionBy("context")
     c = c.withColumns({"support": F.sum("n").over(by), "at": F.row_number().over(by.orderBy(F.desc("n"), "move"))})
@@ -157,7 +161,7 @@ def question_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 def _loops(spark: SparkSession, d: str) -> DataFrame:
     """purchase and signup as open questions: the first reply within 48 h, and follow-ups of the same kind before it."""
-    m = sequence.next_other(messages(spark, d).filter(kind_filter("visible_message")))
+    m = sequence.next_other(messages(spark, d).filter(kind_filter("visible_message")), "word_count")
     later = m.select("chat_id", F.col("is_from_me").alias("s"), F.col("category").alias("c"), F.col("ts").alias("t"), F.col("id").alias("i"))
     o = m.filter(F.col("category").isin("purchase", "signup")).withColumn("reply_s", F.when(F.col("other_ts") - F.col("ts") <= 172800, F.col("other_ts") - F.col("ts")))
     # the same kind again within 12 h: hour buckets make the range join an equi-join
@@ -172,7 +176,8 @@ def _loops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def open_loops(spark: SparkSession, d: str) -> DataFrame:
-    score = F.least(F.lit(1.0), F.col("word_count") / 100)
+    """Loops by what became of them: how soon a reply came, and how much it says."""
+    score = F.least(F.lit(1.0), F.col("other_word_count") / 100)
     status = F.when(F.col("reply_s").isNull(), "open").when((F.col("follow_ups") > 0) & ((F.col("reply_s") > 21600) | (score < 0.75)), "reopened").when((F.col("reply_s") <= 21600) & (score >= 0.55), "closed").when(score >= 0.75, "closed").otherwise("delayed")
     return _loops(spark, d).groupBy("category", status.alias("status")).agg(F.count("*").alias("n"), F.sum("follow_ups").alias("follow_ups"))
 
@@ -287,7 +292,9 @@ _PAIRS = f"""{MESSAGES}, q0 AS (SELECT chat_id, id, ts, is_from_me, category, le
 replies AS (SELECT *, CASE WHEN is_from_me = 1 THEN 'me_to_them' ELSE 'them_to_me' END AS direction FROM q0 WHERE by_me <> is_from_me AND reply_ts - ts <= 86400)"""
 _NEXT = f"""{MESSAGES}, x AS (SELECT * FROM messages WHERE {_VISIBLE}), nx AS (SELECT a.id, min(b.ts) AS other_ts FROM x a JOIN x b ON a.chat_id = b.chat_id AND a.is_from_me <> b.is_from_me AND (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id)) GROUP BY 1),
 waits AS (SELECT x.*, other_ts, other_ts - ts AS wait FROM x LEFT JOIN nx USING (id))"""
-_LOOPS = f"""{_NEXT}, loops AS (SELECT a.id, a.chat_id, a.category, a.word_count, CASE WHEN a.wait <= 172800 THEN a.wait END AS reply_s, count(b.id) AS follow_ups FROM waits a LEFT JOIN x b ON a.chat_id = b.chat_id AND a.is_from_me = b.is_from_me
+_LOOPS = f"""{_NEXT}, said AS (SELECT id, CASE WHEN is_from_me = 1 THEN them ELSE me END AS reply_words FROM (SELECT id, is_from_me, last_value(CASE WHEN is_from_me = 0 THEN word_count END IGNORE NULLS) OVER w AS them,
+ last_value(CASE WHEN is_from_me = 1 THEN word_count END IGNORE NULLS) OVER w AS me FROM x WINDOW w AS (PARTITION BY chat_id ORDER BY ts DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+loops AS (SELECT a.id, a.chat_id, a.category, s.reply_words, CASE WHEN a.wait <= 172800 THEN a.wait END AS reply_s, count(b.id) AS follow_ups FROM waits a JOIN said s ON s.id = a.id LEFT JOIN x b ON a.chat_id = b.chat_id AND a.is_from_me = b.is_from_me
  AND a.category = b.category AND (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id)) AND b.ts < least(a.ts + 43200, coalesce(a.other_ts, a.ts + 43200)) WHERE a.category IN ('purchase', 'signup') GROUP BY ALL)"""
 
 
@@ -305,8 +312,8 @@ l AS (SELECT *, n * sum(n) OVER () / (sum(n) OVER (PARTITION BY move) * sum(n) O
 v AS (SELECT sum(k) AS al, count(*) AS v FROM k), n AS (SELECT a, b, c, count(*) AS n FROM q GROUP BY 1, 2, 3 HAVING count(*) >= 10),
 l AS (SELECT n.a, n.b, n.c, n.n, n.n / ((SELECT count(*) FROM q) * ((x.k + 1) / (al + v)) * ((y.k + 1) / (al + v)) * ((z.k + 1) / (al + v))) AS lift FROM n, v, k x, k y, k z WHERE x.move = n.a AND y.move = n.b AND z.move = n.c)
 SELECT a || ' > ' || b || ' > ' || c AS path, n, {rounded('lift')} AS lift, {rounded('log2(lift) * sqrt(n) + n / 80', 4)} AS score FROM l WHERE {rounded('lift')} >= 1.25""",
-    "next_move_contexts": f"""WITH {_MOVES}, p AS (SELECT move, lag(move, 1) OVER w AS b1, lag(move, 2) OVER w AS b2, lag(move, 3) OVER w AS b3, lag(move, 4) OVER w AS b4 FROM moves WINDOW w AS (PARTITION BY chat_id, episode ORDER BY at_)),
-x AS (SELECT move, b2 || ' > ' || b1 AS context FROM p WHERE b2 IS NOT NULL UNION ALL SELECT move, b3 || ' > ' || b2 || ' > ' || b1 FROM p WHERE b3 IS NOT NULL UNION ALL SELECT move, b4 || ' > ' || b3 || ' > ' || b2 || ' > ' || b1 FROM p WHERE b4 IS NOT NULL),
+    "next_move_contexts": f"""WITH {_MOVES}, p AS (SELECT move, {", ".join(f"lag(move, {i}) OVER w AS b{i}" for i in range(1, CONTEXT + 1))} FROM moves WINDOW w AS (PARTITION BY chat_id, episode ORDER BY at_)),
+x AS ({" UNION ALL ".join("SELECT move, " + " || ' > ' || ".join(f"b{i}" for i in range(k, 0, -1)) + f" AS context FROM p WHERE b{k} IS NOT NULL" for k in range(2, CONTEXT + 1))}),
 c AS (SELECT context, move, count(*) AS n FROM x GROUP BY 1, 2), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY context) AS BIGINT) AS support, row_number() OVER (PARTITION BY context ORDER BY n DESC, move) AS r FROM c)
 SELECT context, move AS next, n, support, {rounded('n / support')} AS p FROM s WHERE r = 1 AND support >= 6 AND n >= 3 AND {rounded('n / support')} >= 0.38""",
     "mutual_information": f"""WITH {_PAIRS}, c AS (SELECT direction, category, reply, count(*) AS n FROM replies GROUP BY 1, 2, 3), p AS (SELECT *, sum(n) OVER (PARTITION BY direction) AS t, sum(n) OVER (PARTITION BY direction, category) AS x, sum(n) OVER (PARTITION BY direction, reply) AS y FROM c),
@@ -322,7 +329,7 @@ SELECT category, reply, n, {rounded('lift')} AS lift, {rounded('fast / n')} AS f
     "bids_by_type": f"WITH {_NEXT} SELECT category, is_from_me, count(*) AS n, count(*) FILTER (wait <= 3600) AS in_1h, count(*) FILTER (wait <= 21600) AS in_6h, count(*) FILTER (wait IS NULL OR wait >= 86400) AS hanging, {rounded('count(*) FILTER (wait <= 21600) / count(*)')} AS rate FROM waits GROUP BY 1, 2",
     "question_shapes": f"""WITH {TEXT_MESSAGES}, f AS (SELECT is_from_me, text, {ASCII_TOKENS}[1] AS w FROM text_messages) SELECT is_from_me, CASE WHEN w IN ('how', 'what', 'when', 'where', 'why', 'who', 'will') THEN w WHEN w IN ('can', 'could') THEN 'can_could'
  WHEN w IN ('would', 'should') THEN 'would_should' WHEN w IN ('do', 'does', 'did') THEN 'do_did' WHEN w IN ('are', 'is') THEN 'are_is' ELSE 'other' END AS shape, count(*) AS n FROM f WHERE contains(text, '?') OR w IN ({", ".join(f"'{w}'" for w in QUESTION_WORDS)}) GROUP BY 1, 2""",
-    "open_loops": f"""WITH {_LOOPS}, s AS (SELECT *, least(1.0, word_count / 100) AS score FROM loops) SELECT category, CASE WHEN reply_s IS NULL THEN 'open' WHEN follow_ups > 0 AND (reply_s > 21600 OR score < 0.75) THEN 'reopened' WHEN reply_s <= 21600 AND score >= 0.55 THEN 'closed'
+    "open_loops": f"""WITH {_LOOPS}, s AS (SELECT *, least(1.0, reply_words / 100) AS score FROM loops) SELECT category, CASE WHEN reply_s IS NULL THEN 'open' WHEN follow_ups > 0 AND (reply_s > 21600 OR score < 0.75) THEN 'reopened' WHEN reply_s <= 21600 AND score >= 0.55 THEN 'closed'
  WHEN score >= 0.75 THEN 'closed' ELSE 'delayed' END AS status, count(*) AS n, CAST(sum(follow_ups) AS BIGINT) AS follow_ups FROM s GROUP BY 1, 2""",
     "loop_debt": f"""WITH {_LOOPS} SELECT chat_id, count(*) AS n, {rounded('2.0 * count(*) FILTER (reply_s IS NULL) + 1.5 * count(*) FILTER (reply_s IS NOT NULL AND follow_ups > 0) + count(*) FILTER (reply_s > 21600 AND follow_ups = 0) + 0.35 * greatest(count(*) - 4, 0)')} AS debt FROM loops GROUP BY 1""",
     "ignition_attempts": f"""WITH {_NEXT}, g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY chat_id ORDER BY ts, id) AS gap FROM waits), c AS (SELECT a.chat_id, a.id, a.gap, CASE WHEN a.wait <= 86400 THEN a.wait END AS reply_s, count(*) FILTER (b.ts <= a.ts + 14400) AS m4,

@@ -198,11 +198,17 @@ def link_bridges(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("distance", js_round(far, 4)).filter("distance > 60").select("from_id", "to_id", "gap", "distance")
 
 
+#: The offsets of the survival curve.
+SURVIVAL = (3, 6, 9, 12, 18, 24, 30, 36, 42, 48, 54, 60)
+
+
 def survival_curve(spark: SparkSession, d: str) -> DataFrame:
-    """How many topics of a chat are still alive so many days after their first segment."""
-    s = segments(spark, d).groupBy("chat_id", "topic_id").agg(F.min("start_ts").alias("a"), F.max("start_ts").alias("b"))
-    offsets = s.withColumn("offset", F.explode(F.array(*[F.lit(x) for x in (1, 2, 3, 5, 8, 12, 16, 20, 24, 28)])))
-    alive = F.count_if(F.floor((F.col("b") - F.col("a")) / 86400) >= F.col("offset"))
+    """Of a chat's topics that began so many days before the log's last day, how many lasted as long."""
+    day = F.floor(F.col("start_ts") / 86400)
+    s = segments(spark, d).groupBy("chat_id", "topic_id").agg(F.min(day).alias("a"), F.max(day).alias("b"))
+    s = s.join(F.broadcast(s.agg(F.max("b").alias("edge"))))
+    offsets = s.withColumn("offset", F.explode(F.array(*[F.lit(x) for x in SURVIVAL]))).filter(F.col("a") + F.col("offset") <= F.col("edge"))
+    alive = F.count_if(F.col("b") - F.col("a") >= F.col("offset"))
     return offsets.groupBy("offset").agg(alive.alias("alive"), F.count("*").alias("n"), js_round(alive / F.count("*")).alias("rate"))
 
 
@@ -266,8 +272,8 @@ t AS (SELECT least(CAST(floor(CASE WHEN x1 > x0 THEN (x - x0) / (x1 - x0) ELSE 0
 p AS (SELECT col, row, category, count(*) AS n, sum(start_ts) AS ts FROM t GROUP BY 1, 2, 3) SELECT col, row, CAST(sum(n) AS BIGINT) AS n, arg_min(category, (-n, category)) AS dominant, count(*) AS n_categories, CAST(floor(sum(ts) / sum(n)) AS BIGINT) AS mean_ts FROM p GROUP BY 1, 2""",
     "atlas_islands": f"WITH {SEGMENTS}, c AS (SELECT topic_id, count(*) AS n, avg(x) AS cx, avg(y) AS cy FROM segments GROUP BY 1 HAVING count(*) >= 10) SELECT topic_id, any_value(n) AS n, {rounded('any_value(cx)', 4)} AS cx, {rounded('any_value(cy)', 4)} AS cy, {rounded('avg(sqrt(pow(x - cx, 2) + pow(y - cy, 2)))', 4)} AS radius FROM segments JOIN c USING (topic_id) GROUP BY 1",
     "link_bridges": f"WITH {LINKS}, j AS (SELECT from_id, to_id, gap, {rounded('sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))', 4)} AS distance FROM links l JOIN segments a ON l.from_id = a.segment_id JOIN segments b ON l.to_id = b.segment_id WHERE gap < 86400) SELECT * FROM j WHERE distance > 60",
-    "survival_curve": f"""WITH {SEGMENTS}, s AS (SELECT chat_id, topic_id, min(start_ts) AS a, max(start_ts) AS b FROM segments GROUP BY 1, 2), o AS (SELECT unnest([1, 2, 3, 5, 8, 12, 16, 20, 24, 28]) AS "offset")
-SELECT "offset", count(*) FILTER (floor((b - a) / 86400) >= "offset") AS alive, count(*) AS n, {rounded('count(*) FILTER (floor((b - a) / 86400) >= "offset") / count(*)')} AS rate FROM s, o GROUP BY 1""",
+    "survival_curve": f"""WITH {SEGMENTS}, s AS (SELECT chat_id, topic_id, min({_DAY}) AS a, max({_DAY}) AS b FROM segments GROUP BY 1, 2), o AS (SELECT unnest([{", ".join(map(str, SURVIVAL))}]) AS "offset")
+SELECT "offset", count(*) FILTER (b - a >= "offset") AS alive, count(*) AS n, {rounded('count(*) FILTER (b - a >= "offset") / count(*)')} AS rate FROM s, o WHERE a + "offset" <= (SELECT max(b) FROM s) GROUP BY 1""",
     "dormancy_returns": f"WITH {SEGMENTS}, d AS (SELECT DISTINCT chat_id, topic_id, {_DAY} AS day FROM segments), g AS (SELECT topic_id, day - lag(day) OVER (PARTITION BY chat_id, topic_id ORDER BY day) AS gap FROM d) SELECT topic_id, count(*) AS returns, max(gap) AS longest FROM g WHERE gap >= 3 GROUP BY 1",
     "topic_arrivals": f"WITH {SEGMENTS}, c AS (SELECT topic_id, {_DAY} AS day, count(*) AS n FROM segments GROUP BY 1, 2), g AS (SELECT *, day - lag(day) OVER (PARTITION BY topic_id ORDER BY day) AS gap FROM c) SELECT * FROM g WHERE n >= 3 AND (gap IS NULL OR gap >= 2)",
     "interface_schema_probe": "SELECT CAST(NULL AS VARCHAR) AS comment, count(*) AS n FROM orders GROUP BY 1",

@@ -59,15 +59,21 @@ def spaced_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities of the topics' graph, which has one node per topic whatever the log's size."""
+    """Communities of the topics' graph, which has one node per topic whatever the log's size. Topics without an edge have a label
+    of their own."""
 
-    def label(t: pd.DataFrame) -> pd.DataFrame:
-        order = [x for _, x in sorted((-n, x) for x, n in (pd.concat([t.groupby("a")["w"].sum(), t.groupby("b")["w"].sum()]).groupby(level=0).sum()).items())]
-        found = segmentation.communities(list(t[["a", "b", "w"]].itertuples(index=False, name=None)), order)
+    def label(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        own = list(nodes[["topic_id", "n", "category"]].itertuples(index=False, name=None))
+        found = segmentation.communities(own, list(edges[["a", "b", "w"]].itertuples(index=False, name=None)))
         return pd.DataFrame(sorted(found.items()), columns=["topic_id", "community"])
 
-    e = links(segments(spark, d)).filter("from_topic != to_topic").groupBy(F.col("from_topic").cast("long").alias("a"), F.col("to_topic").cast("long").alias("b")).agg(F.count("*").alias("w"))
-    return e.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(label, "topic_id long, community long")
+    s = segments(spark, d)
+    by = Window.partitionBy("topic_id").orderBy(F.desc("k"), "category")
+    kinds = s.groupBy("topic_id", "category").agg(F.count("*").alias("k")).withColumns({"n": F.sum("k").over(Window.partitionBy("topic_id")), "at": F.row_number().over(by)})
+    nodes = kinds.filter("at = 1").select(F.lit(1).alias("_one"), F.col("topic_id").cast("long").alias("topic_id"), "n", "category")
+    e = links(s).filter("from_topic != to_topic").groupBy(F.col("from_topic").cast("long").alias("a"), F.col("to_topic").cast("long").alias("b")).agg(F.count("*").alias("w"))
+    both = e.withColumn("_one", F.lit(1)).groupBy("_one").cogroup(nodes.groupBy("_one"))
+    return both.applyInPandas(label, "topic_id long, community long")
 
 
 #: For a log whose messages are minutes apart; `threads` has the defaults for chats.
@@ -126,10 +132,10 @@ def forecast_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sliding_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within five places of each other in a segment, by an equi-join on the segment and a place, not a range."""
+    """Pairs within 25 places of each other in a segment, by an equi-join on the segment and a place, not a range."""
     w = Window.partitionBy("chat_id", "episode").orderBy("ts", "id")
     e = sequence.episodes(messages(spark, d)).select("chat_id", "episode", "id", "ts", "category", F.row_number().over(w).alias("at"))
-    left = e.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("to", F.col("at") + F.col("step"))
+    left = e.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("to", F.col("at") + F.col("step"))
     right = e.select("chat_id", "episode", F.col("at").alias("to"), F.col("ts").alias("ts2"), F.col("category").alias("category2"))
     j = left.join(right, ["chat_id", "episode", "to"])
     return j.groupBy("category", "category2", "step").agg(F.count("*").alias("n"), js_round(F.sum(F.col("ts2") - F.col("ts")) / F.count("*")).alias("mean_gap"))
@@ -204,7 +210,7 @@ SELECT chat_id, topic_id, segments, days, peak, longest, CASE WHEN edge - b >= 1
     "forecast_labels": f"""{_FRAMES}, f8 AS (SELECT * FROM f WHERE past >= 8), b AS (SELECT min(day) AS a, max(day) AS z FROM f8), g AS (SELECT f8.*, day <= a + floor((z - a) * 0.72) AS train, (future + 10) / (past + 10) AS ratio FROM f8, b),
 t AS (SELECT quantile_cont(future, 0.24) AS q, quantile_cont(future, 0.78) AS u, quantile_cont(ratio, 0.78) AS s FROM g WHERE train) SELECT chat_id, day, train, future <= q AS quiet, future >= u AS busy, {rounded('ratio')} >= {rounded('s')} AS surge FROM g, t""",
     "sliding_neighbours": f"""WITH {_EP}, r AS (SELECT *, row_number() OVER (PARTITION BY chat_id, episode ORDER BY ts, id) AS place FROM ep)
-SELECT a.category, b.category AS category2, CAST(b.place - a.place AS INT) AS step, count(*) AS n, {rounded('sum(b.ts - a.ts) / count(*)')} AS mean_gap FROM r a JOIN r b ON a.chat_id = b.chat_id AND a.episode = b.episode AND b.place BETWEEN a.place + 1 AND a.place + 5 GROUP BY 1, 2, 3""",
+SELECT a.category, b.category AS category2, CAST(b.place - a.place AS INT) AS step, count(*) AS n, {rounded('sum(b.ts - a.ts) / count(*)')} AS mean_gap FROM r a JOIN r b ON a.chat_id = b.chat_id AND a.episode = b.episode AND b.place BETWEEN a.place + 1 AND a.place + 25 GROUP BY 1, 2, 3""",
     "stride_sample": f"WITH {MESSAGES}, r AS (SELECT chat_id, id, CAST(row_number() OVER (PARTITION BY chat_id ORDER BY ts, id) - 1 AS INT) AS at FROM messages) SELECT * FROM r WHERE at % 20 = 0".replace(" AS at FROM", ' AS "at" FROM').replace("WHERE at %", 'WHERE "at" %'),
     "excerpt_positions": f"""WITH {_EP}, r AS (SELECT chat_id, episode, id, CAST(row_number() OVER (PARTITION BY chat_id, episode ORDER BY ts, id) - 1 AS INT) AS "at", count(*) OVER (PARTITION BY chat_id, episode) AS n FROM ep)
 SELECT chat_id, episode, id, "at" FROM r WHERE "at" IN (0, 1, floor(n * 0.34), floor(n * 0.66), n - 2, n - 1)""",

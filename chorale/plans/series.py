@@ -86,11 +86,11 @@ def quiet_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rhythm_periodogram(spark: SparkSession, d: str) -> DataFrame:
-    """The strength of each whole period in the z-scores of daily volume."""
+    """The strength of each whole period from 2 to 180 days, at most the axis' length, in the z-scores of daily volume."""
     z = _whole_days(spark, d).select("i", "n")
     s = z.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.count("*").alias("days"))
     x = z.join(F.broadcast(s)).withColumn("x", (F.col("n") - F.col("mean")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
-    p = x.withColumn("period", F.explode(F.sequence(F.lit(2), F.lit(14))))
+    p = x.withColumn("period", F.explode(F.sequence(F.lit(2), F.least(F.lit(180), F.col("days").cast("int")))))
     angle = 2 * math.pi * F.col("i") / F.col("period")
     return p.groupBy("period").agg(js_round(F.sqrt(F.pow(F.sum(F.col("x") * F.cos(angle)), 2) + F.pow(F.sum(F.col("x") * F.sin(angle)), 2)) / F.first("days"), 4).alias("strength"))
 
@@ -102,7 +102,7 @@ def phase_means(spark: SparkSession, d: str) -> DataFrame:
 def lag_correlation(spark: SparkSession, d: str) -> DataFrame:
     """How both sides' daily volumes go together, shifted by days."""
     x = _whole_days(spark, d).select("i", F.log1p("me").alias("a"), F.log1p(F.col("n") - F.col("me")).alias("b"))
-    left = x.select("i", "a").withColumn("lag", F.explode(F.sequence(F.lit(-7), F.lit(7))))
+    left = x.select("i", "a").withColumn("lag", F.explode(F.sequence(F.lit(-14), F.lit(14))))
     j = left.join(x.select(F.col("i").alias("j"), "b"), F.col("i") + F.col("lag") == F.col("j"))
     return j.groupBy("lag").agg(js_round(F.when(F.count("*") >= 3, F.coalesce(F.corr("a", "b"), F.lit(0.0))).otherwise(0.0), 4).alias("r"))
 
@@ -193,10 +193,10 @@ SELECT chat_id, day, kind, past, future, {rounded('log2(greatest((future + 20) /
     "outlier_days": _outlier_sql(),
     "quiet_days": f"""WITH {_WHOLE}, q AS (SELECT median(n) AS a, quantile_cont(n, 0.25) AS b, median(words) AS c, quantile_cont(words, 0.25) AS d FROM whole),
 s AS (SELECT day, n, words, {rounded('0.8 * greatest((a - n) / greatest(a - b, 1.0), 0) + 0.2 * greatest((c - words) / greatest(c - d, 1.0), 0)', 4)} AS score FROM whole, q) SELECT * FROM s WHERE score >= 0.5""",
-    "rhythm_periodogram": f"""WITH {_WHOLE}, s AS (SELECT avg(n) AS mean, stddev_pop(n) AS sd, count(*) AS days FROM whole), x AS (SELECT i, (n - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x, days FROM whole, s), p AS (SELECT CAST(unnest(range(2, 15)) AS INT) AS period)
-SELECT period, {rounded('sqrt(pow(sum(x * cos(2 * pi() * i / period)), 2) + pow(sum(x * sin(2 * pi() * i / period)), 2)) / any_value(days)', 4)} AS strength FROM x, p GROUP BY 1""",
+    "rhythm_periodogram": f"""WITH {_WHOLE}, s AS (SELECT avg(n) AS mean, stddev_pop(n) AS sd, count(*) AS days FROM whole), x AS (SELECT i, (n - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x, days FROM whole, s), p AS (SELECT CAST(unnest(range(2, 181)) AS INT) AS period)
+SELECT period, {rounded('sqrt(pow(sum(x * cos(2 * pi() * i / period)), 2) + pow(sum(x * sin(2 * pi() * i / period)), 2)) / any_value(days)', 4)} AS strength FROM x, p WHERE period <= days GROUP BY 1""",
     "phase_means": f"WITH {_WHOLE} SELECT i % 7 AS phase, {rounded('sum(n) / count(*)')} AS mean FROM whole GROUP BY 1",
-    "lag_correlation": f"""WITH {_WHOLE}, x AS (SELECT i, ln(1 + me) AS a, ln(1 + n - me) AS b FROM whole), l AS (SELECT CAST(unnest(range(-7, 8)) AS INT) AS lag)
+    "lag_correlation": f"""WITH {_WHOLE}, x AS (SELECT i, ln(1 + me) AS a, ln(1 + n - me) AS b FROM whole), l AS (SELECT CAST(unnest(range(-14, 15)) AS INT) AS lag)
 SELECT lag, {rounded('CASE WHEN count(*) >= 3 THEN coalesce(corr(u.a, v.b), 0) ELSE 0 END', 4)} AS r FROM x u, l, x v WHERE u.i + lag = v.i GROUP BY 1""",
     "day_windows_5x2": f"""WITH {_DAYS}, x AS (SELECT *, day - min(day) OVER (PARTITION BY chat_id) AS i FROM days), s AS (SELECT chat_id, i AS start FROM x WHERE i % 2 = 0)
 SELECT s.chat_id, s.start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(words) AS BIGINT) AS words, count(*) AS days FROM s JOIN x ON x.chat_id = s.chat_id AND x.i BETWEEN s.start AND s.start + 4 GROUP BY 1, 2 HAVING count(*) = 5""",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +46,31 @@ def followed(stream: DataFrame, first: str, then: str, within: str = "4 hours",
     return a.join(b, near).select("user_id", "first_id", "then_id", (F.unix_seconds("then_at") - F.unix_seconds("first_at")).alias("gap"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's results and state, in the folder that spark.checkpoint.dir names. Where it is unset, a session
+    on this machine alone gets a temporary one; a cluster has no other folder that all its machines share, and is refused."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="chorale-stream-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{name}"
+
+
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What the stream gives once all files there are have been read, as an in-memory table of that name."""
+    """What the stream gives once all files there are have been read, as a table that its executors wrote: nothing passes
+    through the driver. In complete mode the last batch is the whole result."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    folder = _folder(spark, name)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    if mode == "complete":
+        query = writer.foreachBatch(keep).start()
+    else:
+        query = writer.format("parquet").option("path", f"{folder}/rows").start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

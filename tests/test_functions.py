@@ -83,7 +83,7 @@ def test_tokens_and_negation(spark):
 
 @pytest.mark.parametrize(
     ("t", "kind", "want"),
-    [("I love you", "warmth", True), ("I don't love that", "warmth", False), ("sorry, when is dinner?", "repair", False), ("I'm sorry", "repair", True), ("my bad", "repair", True), ("no thanks", "gratitude", False), ("thank you", "gratitude", True), ("not safe", "care", False), ("not funny", "humor", False), ("I feel sad", "strain", True)],
+    [("I love you", "warmth", True), ("I don't love that", "warmth", False), ("sorry, when is dinner?", "repair", False), ("I'm sorry", "repair", True), ("Sorry I was cold when you called", "repair", True), ("I'm sorry, when is dinner?", "repair", False), ("I am sorry, that came out wrong", "repair", True), ("my bad", "repair", True), ("no thanks", "gratitude", False), ("thank you", "gratitude", True), ("not safe", "care", False), ("not funny", "humor", False), ("I feel sad", "strain", True)],
 )
 def test_lexicons(spark, t, kind, want):
     assert one(spark, text.lexicon_match(F.col("t"), kind), t=t) is want

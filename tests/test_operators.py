@@ -29,10 +29,42 @@ def test_topic_cuts():
     assert segmentation.topic_cuts(x[:40]) == []
 
 
+def plain_communities(nodes, edges, most=9):
+    """Labels one node and neighbour at a time."""
+    label = {x: x for x, _, _ in nodes}
+    for _ in range(24):
+        for x, _, _ in sorted(nodes, key=lambda t: (-t[1], t[0])):
+            votes = {}
+            for a, b, w in edges:
+                for here, there in ((a, b), (b, a)):
+                    if here == x:
+                        votes[label[there]] = votes.get(label[there], 0) + w
+            if votes:
+                label[x] = min(votes, key=lambda v: (-votes[v], v))
+    names = sorted(set(label.values()), key=lambda v: (-sum(x == v for x in label.values()), v))
+    number = {x: min(names.index(v), most - 1) for x, v in label.items()}
+    if len(set(number.values())) >= 3:
+        return number
+    weight = {}
+    for _, n, c in nodes:
+        weight[c] = weight.get(c, 0) + n
+    kinds = sorted(weight, key=lambda c: (-weight[c], c))
+    return {x: min(kinds.index(c), most - 1) for x, _, c in nodes}
+
+
 def test_communities():
-    edges = [(1, 2, 3.0), (2, 3, 3.0), (1, 3, 3.0), (4, 5, 3.0), (5, 6, 3.0), (4, 6, 3.0), (3, 4, 1.0)]
-    found = segmentation.communities(edges, [1, 2, 3, 4, 5, 6])
-    assert len({found[x] for x in (1, 2, 3)}) == 1 and len({found[x] for x in (4, 5, 6)}) == 1 and found[1] != found[4]
+    rng = np.random.default_rng(3)
+    clique = lambda xs: [(a, b, 3.0) for i, a in enumerate(xs) for b in xs[i + 1 :]]
+    edges = clique([1, 2, 3, 10]) + clique([4, 5, 6]) + clique([7, 8, 9]) + [(3, 4, 1.0), (6, 7, 1.0)]
+    found = segmentation.communities([(x, 1, "k") for x in range(1, 11)], edges)
+    assert [found[x] for x in range(1, 11)] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 0]
+    two = [(x, x, "odd" if x % 2 else "even") for x in range(1, 7)]
+    assert segmentation.communities(two, clique([1, 2, 3]) + clique([4, 5, 6])) == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0}
+    for _ in range(40):
+        n = int(rng.integers(3, 30))
+        nodes = [(int(x), int(rng.integers(1, 6)), "abc"[int(rng.integers(3))]) for x in rng.choice(100, n, replace=False)]
+        edges = [(nodes[int(a)][0], nodes[int(b)][0], float(rng.integers(1, 5))) for a, b in rng.integers(0, n, (n, 2)) if a != b]
+        assert segmentation.communities(nodes, edges) == plain_communities(nodes, edges)
 
 
 def modularity(labels, edges):
