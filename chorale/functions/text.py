@@ -22,6 +22,8 @@ LEXICONS = {
     "gratitude": (("thanks", "appreciate", "grateful", "thankful", "bless"), ("thank you", "means a lot")),
     "care": (("rest", "eat", "safe"), ("hope you", "are you ok(?:ay)?", "you ok(?:ay)?", "feel better", "sleep well", "take care", "checking in", "how are you", "how was your day")),
     "humor": (("lol", "lmao", "haha", "hehe", "funny", "silly", "wild", "ridiculous", "joke", "hilarious"), ()),
+    "planning": (("plan", "plans", "schedule", "calendar", "dinner", "tomorrow", "tonight"), ("what time", "when should")),
+    "affection": (("love", "kiss", "cuddle", "snuggle", "sweetheart", "darling"), ()),
 }
 
 #: The kinds of a conversational move, first match wins.
@@ -100,13 +102,13 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def lexicon_match(text: Column, kind: str) -> Column:
-    """A word of the lexicon that isn't negated; else, unless a negated one occurs, one of its phrases. An apology that a
-    question of logistics follows directly is no repair."""
+    """A word of the lexicon that isn't negated; else, unless a negated one occurs, one of its phrases, or a word before an
+    apostrophe. An apology that a question of logistics follows directly is no repair."""
     words, phrases = LEXICONS[kind]
     tagged = negated(base_tokens(text, 1, 40))
     plain = F.arrays_overlap(tagged, F.array(*[F.lit(w) for w in words]))
     against = F.arrays_overlap(tagged, F.array(*[F.lit(f"{w}_NEG") for w in words]))
-    phrase = has(text, "|".join(phrases)) if phrases else F.lit(False)
+    phrase = has(text, "|".join((*words, *phrases)))
     out = F.when(plain, True).when(against, False).otherwise(phrase)
     if kind == "repair":
         out = F.when(has(text, LOGISTICS_APOLOGY), False).otherwise(out)

@@ -32,6 +32,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What the messages of `phrased` say, by their k: plain English, as the tables' own texts hold none.
+PHRASES = (
+    "How are you feeling today?", "I'm sorry, I didn't mean that", "Sorry, when is dinner?", "good morning love 🌞", "What time should we meet tonight?",
+    "lol that is so funny 😂😂", "love you, sleep well ❤️", "On my way, leaving now", "look at this https://example.org/a/b?c=1 wow", "wanna come over and hang out?",
+    "thank you so much 👍", "just got home safe", "can you remind me tomorrow", "I feel so tired and stressed", "not sad, only hungry",
+    "Wordle 4/6 🟩⬛🟨", "are you okay?", "miss you 👩‍🚀", "ok", "could you send me the address",
+    "see   example.com/menu  for lunch plans", "I don’t love this", "proud of you darling", "Why not? We will see", "is the game on",
+)
+
+
+def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages, each saying the phrase of its k and place; a sender's long message says nothing."""
+    at = (F.col("id") + F.col("k")) % len(PHRASES) + 1
+    return messages(spark, sf_dir).withColumn("text", F.when(F.col("word_count") < 150, F.element_at(F.array(*[F.lit(p) for p in PHRASES]), at.cast("int"))))
+
+
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as a message log with texts."""
     c, t = F.col("conv_id"), F.col("turn")
