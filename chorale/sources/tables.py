@@ -79,32 +79,42 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments_of(m)
 
 
-def dominant(key: Column, by: list[str], df: DataFrame, name: str) -> DataFrame:
-    """The most frequent key of each group; ties go to the least."""
-    counts = df.groupBy(*by, key.alias("_key")).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*by).agg(F.min_by("_key", F.struct(-F.col("_n"), F.col("_key"))).alias(name))
+def dominant(counts: Column, key: str) -> Column:
+    """The most frequent key of an array of structs with a count n; ties go to the least."""
+    total = lambda k: F.aggregate(F.filter(counts, lambda c: c[key].eqNullSafe(k)), F.lit(0).cast("bigint"), lambda t, c: t + c["n"])
+    ranked = F.transform(F.array_distinct(counts[key]), lambda k: F.struct((-total(k)).alias("n"), k.alias("key")))
+    return F.array_min(ranked)["key"]
 
 
 def segments_of(m: DataFrame) -> DataFrame:
+    """One pass over the messages: counts by topic and category within a segment, of which there are 60 at most, then segments."""
     by = ["chat_id", "episode"]
-    base = m.groupBy(*by).agg(
+    parts = m.groupBy(*by, (F.col("k") % 12).alias("topic_id"), "category").agg(
         F.min("ts").alias("start_ts"),
         F.max("ts").alias("end_ts"),
         F.min_by("id", F.struct("ts", "id")).alias("segment_id"),
-        F.count("*").alias("n_msgs"),
+        F.count("*").alias("n"),
         F.sum("is_from_me").alias("n_me"),
         F.sum(1 - F.col("is_from_me")).alias("n_them"),
         F.sum("k").alias("sum_k"),
         F.sum(F.floor("value").cast("bigint")).alias("sum_value"),
     )
-    topic = dominant(F.col("k") % 12, by, m, "topic_id")
-    category = dominant(F.col("category"), by, m, "category")
-    return (
-        base.join(topic, by)
-        .join(category, by)
-        .withColumn("x", F.col("sum_k") / F.col("n_msgs"))
-        .withColumn("y", F.col("sum_value") / F.col("n_msgs"))
+    base = parts.groupBy(*by).agg(
+        F.min_by("segment_id", F.struct("start_ts", "segment_id")).alias("segment_id"),
+        F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"),
+        F.sum("n").alias("n_msgs"),
+        *[F.sum(c).alias(c) for c in ("n_me", "n_them", "sum_k", "sum_value")],
+        F.collect_list(F.struct("topic_id", "category", "n")).alias("_counts"),
     )
+    return base.withColumns(
+        {
+            "topic_id": dominant(F.col("_counts"), "topic_id"),
+            "category": dominant(F.col("_counts"), "category"),
+            "x": F.col("sum_k") / F.col("n_msgs"),
+            "y": F.col("sum_value") / F.col("n_msgs"),
+        }
+    ).drop("_counts")
 
 
 def links(seg: DataFrame, max_gap: int = 259200) -> DataFrame:
