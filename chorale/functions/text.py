@@ -129,17 +129,31 @@ def move(text: Column, has_attachment: Column) -> Column:
     return reduce(lambda out, rule: out.when(*rule), rules[1:], F.when(*rules[0])).otherwise("ambient")
 
 
+#: What is masked, and the capitalised words that are no names. WORD marks where a word begins or ends.
+PERSONAL = {
+    "email": r"WORD[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}WORD",
+    "phone": r"(?:\+?1[\s.-]?)?(?:\(?[0-9]{3}\)?[\s.-]?)[0-9]{3}[\s.-]?[0-9]{4}WORD",
+    "address": r"WORD[0-9]{1,6}\s+[A-Z][A-Za-z.'-]*(?:\s+[A-Z][A-Za-z.'-]*){0,4}\s+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Boulevard|Blvd|Lane|Ln|Court|Ct|Place|Pl|Way|Terrace|Trail)WORD",
+    "name": r"WORD[A-Z][a-z]{2,}WORD",
+}
+NO_NAMES = (
+    "Them", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "January", "February", "March", "April",
+    "May", "June", "July", "August", "September", "October", "November", "December", "Vancouver",
+)
+#: The bound of an ASCII word, whatever the engine takes \b for.
+WORD_BOUND = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def redacted(text: Column) -> Column:
-    """(text, counts) with e-mail addresses, phone numbers and street addresses masked, in this order."""
-    email, phone, street = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}", r"[0-9]{1,5} [A-Z][a-z]+ (St|Street|Ave|Avenue|Rd|Road|Blvd|Dr|Drive|Lane|Ln)"
-    one = F.regexp_replace(text, email, "[email]")
-    two = F.regexp_replace(one, phone, "[phone]")
-    return F.struct(
-        F.regexp_replace(two, street, "[address]").alias("text"),
-        F.regexp_count(text, F.lit(email)).alias("emails"),
-        F.regexp_count(one, F.lit(phone)).alias("phones"),
-        F.regexp_count(two, F.lit(street)).alias("addresses"),
-    )
+    """(text, counts) with e-mail addresses, phone numbers, street addresses and names masked, in this order."""
+    out, counts = text, []
+    for what, pattern in PERSONAL.items():
+        java = pattern.replace("WORD", WORD_BOUND)
+        if what == "name":
+            java = f"(?!(?:{'|'.join(NO_NAMES)})(?![A-Za-z0-9_])){java}"
+        counts.append(F.regexp_count(out, F.lit(java)).alias({"address": "addresses"}.get(what, f"{what}s")))
+        out = F.regexp_replace(out, java, f"[redacted-{what}]")
+    return F.struct(out.alias("text"), *counts)
 
 
 def sentences(text: Column) -> Column:

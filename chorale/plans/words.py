@@ -125,7 +125,7 @@ def symbol_top(spark: SparkSession, d: str) -> DataFrame:
 
 def pii_redaction_counts(spark: SparkSession, d: str) -> DataFrame:
     r = corpus(spark, d).select("category", text.redacted(F.col("text")).alias("r"))
-    return r.groupBy("category").agg(F.sum("r.emails").alias("emails"), F.sum("r.phones").alias("phones"), F.sum("r.addresses").alias("addresses"))
+    return r.groupBy("category").agg(F.sum("r.emails").alias("emails"), F.sum("r.phones").alias("phones"), F.sum("r.addresses").alias("addresses"), F.sum("r.names").alias("names"))
 
 
 def lexicon_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +238,7 @@ _SENT = f"""{CORPUS}, s0 AS (SELECT is_from_me, unnest(list_filter(list_transfor
 s AS (SELECT *, len(regexp_extract_all(lower(s), '[a-z0-9]+')) AS words FROM s0)"""
 _TERMS = ", ".join(f"'{t}'" for t in TERMS)
 _LEXICON = ", ".join(f"'{t}'" for t in TERM_LEXICON)
-_EMAIL, _PHONE, _STREET = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"(?:\+?1[-. ]?)?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}", r"[0-9]{1,5} [A-Z][a-z]+ (?:St|Street|Ave|Avenue|Rd|Road|Blvd|Dr|Drive|Lane|Ln)"
+_PERSONAL = {k: "'" + v.replace("WORD", r"\b").replace("'", "''") + "'" for k, v in text.PERSONAL.items()}
 _BASE = """list_filter(list_transform(string_split(regexp_replace(translate(lower(text), '’‘', ''''''), '[^a-z0-9'' ]', ' ', 'g'), ' '), lambda w: regexp_replace(w, '^''+|''+$', '', 'g')), lambda w: length(w) BETWEEN {a} AND {b})"""
 
 
@@ -279,8 +279,11 @@ SELECT gram, CAST(c12 AS BIGINT) AS c12, {rounded("2 * (" + " + ".join(f"CASE WH
     "sentence_hist": f"""WITH {_SENT}, e AS (SELECT * FROM (VALUES (1, 3, '1-3'), (4, 7, '4-7'), (8, 12, '8-12'), (13, 20, '13-20'), (21, 40, '21-40'), (41, 1000000000, '41+')) v(a, b, bucket), (VALUES (0), (1)) u(is_from_me))
 SELECT e.is_from_me, e.bucket, count(s.words) AS n FROM e LEFT JOIN s ON s.is_from_me = e.is_from_me AND s.words BETWEEN e.a AND e.b GROUP BY 1, 2""",
     "symbol_top": f"WITH {CORPUS}, k AS (SELECT is_from_me, unnest(regexp_extract_all(text, '[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E\\x{{2000}}-\\x{{2BFF}}]')) AS symbol FROM corpus) SELECT symbol, count(*) AS n, CAST(sum(is_from_me) AS BIGINT) AS me FROM k GROUP BY 1 ORDER BY n DESC, symbol LIMIT 30",
-    "pii_redaction_counts": f"""WITH {CORPUS}, a AS (SELECT category, text, regexp_replace(text, '{_EMAIL}', '[email]', 'g') AS one FROM corpus), b AS (SELECT *, regexp_replace(one, '{_PHONE}', '[phone]', 'g') AS two FROM a)
-SELECT category, CAST(sum(len(regexp_extract_all(text, '{_EMAIL}'))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(one, '{_PHONE}'))) AS BIGINT) AS phones, CAST(sum(len(regexp_extract_all(two, '{_STREET}'))) AS BIGINT) AS addresses FROM b GROUP BY 1""",
+    "pii_redaction_counts": f"""WITH {CORPUS}, a AS (SELECT category, text, regexp_replace(text, {_PERSONAL['email']}, '[redacted-email]', 'g') AS one FROM corpus),
+b AS (SELECT *, regexp_replace(one, {_PERSONAL['phone']}, '[redacted-phone]', 'g') AS two FROM a), c AS (SELECT *, regexp_replace(two, {_PERSONAL['address']}, '[redacted-address]', 'g') AS three FROM b)
+SELECT category, CAST(sum(len(regexp_extract_all(text, {_PERSONAL['email']}))) AS BIGINT) AS emails, CAST(sum(len(regexp_extract_all(one, {_PERSONAL['phone']}))) AS BIGINT) AS phones,
+  CAST(sum(len(regexp_extract_all(two, {_PERSONAL['address']}))) AS BIGINT) AS addresses,
+  CAST(sum(len(list_filter(regexp_extract_all(three, {_PERSONAL['name']}), lambda w: w NOT IN ({', '.join(f"'{w}'" for w in text.NO_NAMES)})))) AS BIGINT) AS names FROM c GROUP BY 1""",
     "lexicon_rates": f"WITH {CORPUS}, h AS (SELECT month, is_from_me, len(list_filter({ASCII_TOKENS}, lambda w: w IN ({_LEXICON}))) AS hits FROM corpus) SELECT month, is_from_me, count(*) AS n, count(*) FILTER (hits > 0) AS texts, CAST(sum(hits) AS BIGINT) AS hits, {rounded('count(*) FILTER (hits > 0) / count(*)')} AS rate FROM h GROUP BY 1, 2",
     "negation_tags": f"""WITH {TEXT_MESSAGES}, w AS (SELECT id, {_BASE.format(a=1, b=40)} AS w FROM text_messages), p AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w),
 q AS (SELECT *, word IN ({_NEG}) AS neg, max(CASE WHEN word IN ({_NEG}) THEN pos END) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM p)

@@ -95,9 +95,9 @@ def test_moves(spark, t, att, want):
 
 
 def test_redaction(spark):
-    r = one(spark, text.redacted(F.col("t")), t="mail a.b@c.org or call 604-555-0199, 12 Main St on Monday")
-    assert (r["emails"], r["phones"], r["addresses"]) == (1, 1, 1)
-    assert r["text"] == "mail [email] or call [phone], [address] on Monday"
+    r = one(spark, text.redacted(F.col("t")), t="mail a.b@c.org or call 604-555-0199, 12 St. John's Main Terrace on Monday with Ana, Jo and Mayra")
+    assert (r["emails"], r["phones"], r["addresses"], r["names"]) == (1, 1, 1, 2)
+    assert r["text"] == "mail [redacted-email] or call [redacted-phone], [redacted-address] on Monday with [redacted-name], Jo and [redacted-name]"
 
 
 def test_syllables_and_sentences(spark):
