@@ -212,16 +212,6 @@ def balance_smd(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("treated >= 2").select("chat_id", smd.alias("smd"), F.when(F.abs(smd) <= 0.1, "good").when(F.abs(smd) <= 0.25, "watch").otherwise("poor").alias("verdict"))
 
 
-def cohort_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Each chat among all: rank and share at or below, by its messages, words and attachments."""
-    c = messages(spark, d).groupBy("chat_id").agg(F.count("*").alias("n"), F.sum("word_count").alias("words"), F.sum("has_attachment").alias("attachments"))
-    long = c.select("chat_id", F.explode(F.array(*[F.struct(F.lit(x).alias("metric"), F.col(x).alias("value")) for x in ("n", "words", "attachments")])).alias("m")).select("chat_id", "m.*")
-    by = Window.partitionBy("metric")
-    rank = F.rank().over(by.orderBy(F.desc("value")))
-    at_most = F.count("*").over(by.orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
-    return long.select("chat_id", "metric", "value", rank.alias("rank"), js_round(100 * at_most / F.count("*").over(by)).alias("percentile"))
-
-
 def cohort_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The three chats most like each, by the root mean square of standardised metrics: one row per chat, so pairs are few."""
     c = messages(spark, d).groupBy("chat_id").agg(F.avg("is_from_me").alias("a"), F.avg("word_count").alias("b"), F.avg("has_attachment").alias("c"))
@@ -296,8 +286,6 @@ SELECT id, other, similarity, CAST(row_number() OVER w AS INT) AS "at" FROM s WI
     "matched_effects": f"WITH {_MATCH}, d AS (SELECT treated, any_value(tw) - sum(cw) / count(*) AS delta FROM knn GROUP BY 1) SELECT count(*) AS treated, {rounded('avg(delta)')} AS effect, {rounded('coalesce(stddev_samp(delta), 0)', 4)} AS sd FROM d",
     "balance_smd": f"""WITH {MESSAGES}, g AS (SELECT chat_id, avg(word_count) FILTER (has_attachment = 0) AS m0, avg(word_count) FILTER (has_attachment = 1) AS m1, var_samp(word_count) FILTER (has_attachment = 0) AS v0, var_samp(word_count) FILTER (has_attachment = 1) AS v1, sum(has_attachment) AS t FROM messages GROUP BY 1),
 s AS (SELECT chat_id, {rounded('CASE WHEN sqrt((v0 + v1) / 2) > 0 THEN (m1 - m0) / sqrt((v0 + v1) / 2) ELSE 0 END')} AS smd FROM g WHERE t >= 2) SELECT chat_id, smd, CASE WHEN abs(smd) <= 0.1 THEN 'good' WHEN abs(smd) <= 0.25 THEN 'watch' ELSE 'poor' END AS verdict FROM s""",
-    "cohort_metrics": f"""WITH {MESSAGES}, c AS (SELECT chat_id, count(*) AS n, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(has_attachment) AS BIGINT) AS attachments FROM messages GROUP BY 1), l AS (SELECT chat_id, 'n' AS metric, n AS value FROM c UNION ALL SELECT chat_id, 'words', words FROM c UNION ALL SELECT chat_id, 'attachments', attachments FROM c)
-SELECT chat_id, metric, value, CAST((SELECT 1 + count(*) FROM l b WHERE b.metric = a.metric AND b.value > a.value) AS INT) AS rank, {rounded('100 * (SELECT count(*) FROM l b WHERE b.metric = a.metric AND b.value <= a.value) / (SELECT count(*) FROM c)')} AS percentile FROM l a""",
     "cohort_neighbours": f"""WITH {MESSAGES}, c AS (SELECT chat_id, avg(is_from_me) AS a, avg(word_count) AS b, avg(has_attachment) AS c FROM messages GROUP BY 1), s AS (SELECT avg(a) ma, stddev_pop(a) sa, avg(b) mb, stddev_pop(b) sb, avg(c) mc, stddev_pop(c) sc FROM c),
 z AS (SELECT chat_id, (a - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END AS a, (b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END AS b, (c - mc) / CASE WHEN sc = 0 THEN 1 ELSE sc END AS c FROM c, s),
 j AS (SELECT x.chat_id, y.chat_id AS other, {rounded('sqrt((pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2)) / 3)')} AS distance FROM z x JOIN z y ON x.chat_id <> y.chat_id)

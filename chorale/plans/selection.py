@@ -47,17 +47,6 @@ def capsules_diverse(spark: SparkSession, d: str) -> DataFrame:
     return pool.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(pick, "rank long, segment_id long, score double")
 
 
-def spaced_events(spark: SparkSession, d: str) -> DataFrame:
-    """A chat's surges and lulls, the strongest first, five days apart at least."""
-
-    def pick(t: pd.DataFrame) -> pd.DataFrame:
-        rows = t.sort_values(["score", "day"], ascending=[False, True]).to_dict("records")
-        return pd.DataFrame(greedy.spaced(rows, lambda r: r["day"], 5, 18), columns=["chat_id", "day", "kind", "score"])
-
-    e = series.omen_events(spark, d).select("chat_id", "day", "kind", "score")
-    return e.groupBy("chat_id", "kind").applyInPandas(pick, "chat_id int, day long, kind string, score double")
-
-
 def topic_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities of the topics' graph, which has one node per topic whatever the log's size. Topics without an edge have a label
     of their own."""
@@ -221,4 +210,4 @@ s AS (SELECT id, kind, {rounded('sum(n * CAST(weight AS DOUBLE))')} AS score FRO
 SELECT id, kind, score, secondary, {rounded('least(0.97, 0.45 + 0.42 * (score - second) / greatest(score, 1.0) + 0.12 * tanh(score / 8))')} AS confidence, CASE WHEN score < 1 THEN 'weak' WHEN score - second < 0.1 THEN 'ambiguous' ELSE 'classified' END AS status FROM r WHERE pos = 1""",
     "store_projection": f"WITH {MESSAGES} SELECT id, ts, CAST(id AS VARCHAR) AS guid, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS is_image, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS is_video, '604555' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS handle FROM messages",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "capsules_diverse", "spaced_events", "topic_communities", "conversation_threads"]}
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "capsules_diverse", "topic_communities", "conversation_threads"]}

@@ -51,33 +51,6 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
     return _days(spark, d).select("chat_id", "day", js_round(F.sum("n").over(w) / F.count("*").over(w)).alias("mean"))
 
 
-def omen_events(spark: SparkSession, d: str) -> DataFrame:
-    """Surges and lulls: the seven days before a day against the seven after."""
-    past, future = F.sum("n").over(_by_chat().rowsBetween(-7, -1)), F.sum("n").over(_by_chat().rowsBetween(1, 7))
-    e = _days(spark, d).select("chat_id", "day", past.alias("past"), future.alias("future"), F.count("*").over(_by_chat().rowsBetween(-7, -1)).alias("before"), F.count("*").over(_by_chat().rowsBetween(1, 7)).alias("after"))
-    up, down = (F.col("future") + 20) / (F.col("past") + 20), (F.col("past") + 20) / (F.col("future") + 20)
-    kind = F.when(up >= 1.25, "surge").when(down >= 1.25, "lull")
-    return e.filter("before = 7 and after = 7").withColumn("kind", kind).filter("kind is not null").select("chat_id", "day", "kind", "past", "future", js_round(F.log2(F.greatest(up, down)) * 3).alias("score"))
-
-
-def outlier_days(spark: SparkSession, d: str) -> DataFrame:
-    """Days whose features exceed the median by robust scales: volume, words, tempo, attachments."""
-    names = {"volume": 1.1, "flood": 0.9, "tempo": 1.0, "pulse": 0.85}
-    f = _whole_days(spark, d).filter("n > 0").select(
-        "day", F.log1p("n").alias("volume"), F.log1p("words").alias("flood"), (F.col("n") / F.greatest(F.lit(1.0), (F.col("end_ts") - F.col("start_ts")) / 3600 + 1)).alias("tempo"), F.log1p("attachments").alias("pulse")
-    )
-    q = f.agg(*[F.percentile(x, F.array(*[F.lit(p) for p in (0.5, 0.25, 0.75, 0.9, 0.95)])).alias(f"q_{x}") for x in names])
-    j = f.join(F.broadcast(q))
-    mad = j.agg(*[F.percentile(F.abs(F.col(x) - F.col(f"q_{x}")[0]), 0.5).alias(f"mad_{x}") for x in names])
-    j = j.join(F.broadcast(mad))
-    total = F.lit(0.0)
-    for x, weight in names.items():
-        qx, m = F.col(f"q_{x}"), F.col(f"mad_{x}")
-        scale = F.greatest(1.4826 * F.when(m == 0, 1e-6).otherwise(m), (qx[2] - qx[1]) / 1.349, F.abs(qx[3] - qx[0]) / 1.2816, F.abs(qx[4] - qx[0]) / 1.6449, F.lit(1e-6))
-        total = total + F.pow(F.greatest((F.col(x) - qx[0]) / scale, F.lit(0.0)) * weight, 2)
-    return j.select("day", js_round(F.sqrt(total), 4).alias("score"))
-
-
 def quiet_days(spark: SparkSession, d: str) -> DataFrame:
     f = _whole_days(spark, d).select("day", "n", "words")
     q = f.agg(*[F.percentile(x, F.array(F.lit(0.5), F.lit(0.25))).alias(f"q_{x}") for x in ("n", "words")])
@@ -170,27 +143,11 @@ g1 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY category ORDER BY day ROWS B
 g2 AS (SELECT *, sum(n) OVER (PARTITION BY day) AS total, sum(base) OVER (PARTITION BY day) AS base_total FROM g1), g3 AS (SELECT *, n / total AS p, base / base_total AS q FROM g2 WHERE total >= 10 AND base_total >= 10)"""
 
 
-def _outlier_sql() -> str:
-    names = {"volume": 1.1, "flood": 0.9, "tempo": 1.0, "pulse": 0.85}
-    q = ", ".join(f"quantile_cont({x}, 0.5) AS {x}50, quantile_cont({x}, 0.25) AS {x}25, quantile_cont({x}, 0.75) AS {x}75, quantile_cont({x}, 0.9) AS {x}90, quantile_cont({x}, 0.95) AS {x}95" for x in names)
-    mad = ", ".join(f"median(abs({x} - {x}50)) AS {x}m" for x in names)
-    z = " + ".join(
-        f"pow(greatest(({x} - {x}50) / greatest(1.4826 * CASE WHEN {x}m = 0 THEN 1e-6 ELSE {x}m END, ({x}75 - {x}25) / 1.349, abs({x}90 - {x}50) / 1.2816, abs({x}95 - {x}50) / 1.6449, 1e-6), 0) * {w}, 2)" for x, w in names.items()
-    )
-    return f"""WITH {_WHOLE}, f AS (SELECT day, ln(1 + n) AS volume, ln(1 + words) AS flood, n / greatest(1.0, (end_ts - start_ts) / 3600 + 1) AS tempo, ln(1 + attachments) AS pulse FROM whole WHERE n > 0),
-q AS (SELECT {q} FROM f), j AS (SELECT * FROM f, q), m AS (SELECT {mad} FROM j) SELECT day, {rounded(f'sqrt({z})', 4)} AS score FROM j, m"""
-
-
 ORACLE_SQL = {
     "dense_days": f"WITH {_DAYS} SELECT chat_id, day, n, me, words, attachments FROM days",
     "rolling_frames": f"""WITH {_DAYS}, f AS (SELECT chat_id, day, CAST(sum(n) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS past, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING), 0) AS BIGINT) AS previous,
  CAST(coalesce(sum(n) OVER (w ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), 0) AS BIGINT) AS future FROM days WINDOW w AS (PARTITION BY chat_id ORDER BY day)) SELECT * FROM f WHERE past >= 8""",
     "moving_average": f"WITH {_DAYS} SELECT chat_id, day, {rounded('avg(n) OVER (PARTITION BY chat_id ORDER BY day ROWS BETWEEN 45 PRECEDING AND 45 FOLLOWING)')} AS mean FROM days",
-    "omen_events": f"""WITH {_DAYS}, e AS (SELECT chat_id, day, CAST(sum(n) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS BIGINT) AS past, CAST(sum(n) OVER (w ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS BIGINT) AS future,
- count(*) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS a, count(*) OVER (w ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS b FROM days WINDOW w AS (PARTITION BY chat_id ORDER BY day)),
-k AS (SELECT *, CASE WHEN (future + 20) / (past + 20) >= 1.25 THEN 'surge' WHEN (past + 20) / (future + 20) >= 1.25 THEN 'lull' END AS kind FROM e WHERE a = 7 AND b = 7)
-SELECT chat_id, day, kind, past, future, {rounded('log2(greatest((future + 20) / (past + 20), (past + 20) / (future + 20))) * 3')} AS score FROM k WHERE kind IS NOT NULL""",
-    "outlier_days": _outlier_sql(),
     "quiet_days": f"""WITH {_WHOLE}, q AS (SELECT median(n) AS a, quantile_cont(n, 0.25) AS b, median(words) AS c, quantile_cont(words, 0.25) AS d FROM whole),
 s AS (SELECT day, n, words, {rounded('0.8 * greatest((a - n) / greatest(a - b, 1.0), 0) + 0.2 * greatest((c - words) / greatest(c - d, 1.0), 0)', 4)} AS score FROM whole, q) SELECT * FROM s WHERE score >= 0.5""",
     "rhythm_periodogram": f"""WITH {_WHOLE}, s AS (SELECT avg(n) AS mean, stddev_pop(n) AS sd, count(*) AS days FROM whole), x AS (SELECT i, (n - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x, days FROM whole, s), p AS (SELECT CAST(unnest(range(2, 181)) AS INT) AS period)

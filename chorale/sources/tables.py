@@ -48,6 +48,14 @@ def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).withColumn("text", F.when(F.col("word_count") < 150, F.element_at(F.array(*[F.lit(p) for p in PHRASES]), at.cast("int"))))
 
 
+def uneven(m: DataFrame) -> DataFrame:
+    """The same messages in uneven time: of every sixteen days, the first twelve pass in eight and the last four in eight."""
+    day, span = 86400, 16 * 86400
+    at = F.col("ts") % span
+    quick, slow = F.floor(at * 2 / 3), 8 * day + 2 * (at - 12 * day)
+    return m.withColumn("ts", (F.col("ts") - at + F.when(at < 12 * day, quick).otherwise(slow)).cast("bigint"))
+
+
 def text_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as a message log with texts."""
     c, t = F.col("conv_id"), F.col("turn")
