@@ -1,12 +1,10 @@
-"""Who does what after whom: moves, predictions, information, loops, ignition, recovery, mirroring.
+"""Who does what after whom: moves, predictions, information, loops, ignition, recovery.
 
 The log's categories stand for the kinds of a message's move, as its texts are invented; the ladders of patterns that
 find kinds in English are in functions/text.py and tested there."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,21 +114,6 @@ def cue_tokens(spark: SparkSession, d: str) -> DataFrame:
     return k.filter("n >= 10 and hits >= 4").join(F.broadcast(base)).withColumn("lift", js_round(rate / whole)).filter("lift >= 1.1").select("word", "n", "hits", "lift", js_round(F.col("hits") / F.col("pairs") * F.log2(rate / whole)).alias("bits"))
 
 
-def mirror_effects(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a reply has what its source has, by direction: words above the middle, an attachment."""
-    p = _pairs(spark, d).withColumns({"a_long": (F.col("word_count") >= 50).cast("int"), "b_long": (F.col("reply_words") >= 50).cast("int")})
-    out = []
-    for name, a, b in (("long", "a_long", "b_long"), ("attachment", "has_attachment", "reply_att")):
-        hi, lo = F.sum(F.col(a)), F.sum(1 - F.col(a))
-        hb, lb = F.sum(F.col(a) * F.col(b)), F.sum((1 - F.col(a)) * F.col(b))
-        g = p.groupBy("direction").agg(hi.alias("high"), lo.alias("low"), hb.alias("hb"), lb.alias("lb"))
-        one, two = F.col("hb") / F.col("high"), F.col("lb") / F.col("low")
-        total, yes = F.col("high") + F.col("low"), F.col("hb") + F.col("lb")
-        phi = (F.col("hb") * total - F.col("high") * yes) / F.sqrt(F.col("high").cast("double") * F.col("low") * yes * (total - yes))
-        out.append(g.filter("high >= 10 and low >= 1").select("direction", F.lit(name).alias("feature"), "high", js_round(one - two).alias("delta"), js_round(F.coalesce(one / F.when(two > 0, two), F.lit(0.0))).alias("lift"), js_round(F.coalesce(phi, F.lit(0.0))).alias("phi")))
-    return reduce(DataFrame.unionByName, out)
-
-
 def resonance_cells(spark: SparkSession, d: str) -> DataFrame:
     """Kinds that evoke a kind in reply: cells of twelve pairs or more, lift 1.05 or more, and how fast they come."""
     p = _pairs(spark, d).withColumn("fast", (F.col("reply_ts") - F.col("ts") <= 3600).cast("int"))
@@ -298,12 +281,6 @@ loops AS (SELECT a.id, a.chat_id, a.category, s.reply_words, CASE WHEN a.wait <=
  AND a.category = b.category AND (b.ts > a.ts OR (b.ts = a.ts AND b.id > a.id)) AND b.ts < least(a.ts + 43200, coalesce(a.other_ts, a.ts + 43200)) WHERE a.category IN ('purchase', 'signup') GROUP BY ALL)"""
 
 
-def _mirror(name: str, a: str, b: str) -> str:
-    phi = "(hb * (high + low) - high * (hb + lb)) / sqrt(CAST(high AS DOUBLE) * low * (hb + lb) * (high + low - hb - lb))"
-    return f"""SELECT direction, '{name}' AS feature, high, {rounded('hb / high - lb / low')} AS delta, {rounded('CASE WHEN lb > 0 THEN (hb / high) / (lb / low) ELSE 0 END')} AS lift, {rounded(f'coalesce(CASE WHEN (hb + lb) * (high + low - hb - lb) > 0 THEN {phi} END, 0)')} AS phi
-FROM (SELECT direction, CAST(sum({a}) AS BIGINT) AS high, CAST(sum(1 - {a}) AS BIGINT) AS low, CAST(sum({a} * {b}) AS BIGINT) AS hb, CAST(sum((1 - {a}) * {b}) AS BIGINT) AS lb FROM f GROUP BY 1) WHERE high >= 10 AND low >= 1"""
-
-
 ORACLE_SQL = {
     "collapsed_moves": f"WITH {_MOVES} SELECT move, count(*) AS moves, CAST(sum(n) AS BIGINT) AS messages, max(n) AS longest FROM moves GROUP BY 1",
     "move_transitions": f"""WITH {_MOVES}, p AS (SELECT move, lead(move) OVER (PARTITION BY chat_id, episode ORDER BY at_) AS next FROM moves), c AS (SELECT move, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY 1, 2),
@@ -323,7 +300,6 @@ SELECT direction, category, reply, n, {rounded('n / t')} AS p, {rounded('n * t /
     "cue_tokens": f"""WITH {TEXT_MESSAGES}, p AS (SELECT id, text, is_from_me, lead(is_from_me) OVER w AS by_me, length(lead(text) OVER w) AS chars FROM text_messages WINDOW w AS (PARTITION BY chat_id ORDER BY ts, id)), q AS (SELECT *, CASE WHEN chars > 400 THEN 1 ELSE 0 END AS long FROM p WHERE by_me <> is_from_me),
 b AS (SELECT count(*) AS pairs, sum(long) AS longs FROM q), k AS (SELECT long, unnest(list_distinct({ASCII_TOKENS})) AS word FROM q), c AS (SELECT word, count(*) AS n, CAST(sum(long) AS BIGINT) AS hits FROM k GROUP BY 1 HAVING count(*) >= 10 AND sum(long) >= 4)
 SELECT word, n, hits, {rounded('(hits / n) / (longs / pairs)')} AS lift, {rounded('hits / pairs * log2((hits / n) / (longs / pairs))')} AS bits FROM c, b WHERE {rounded('(hits / n) / (longs / pairs)')} >= 1.1""",
-    "mirror_effects": f"WITH {_PAIRS}, f AS (SELECT *, CASE WHEN word_count >= 50 THEN 1 ELSE 0 END AS al, CASE WHEN reply_words >= 50 THEN 1 ELSE 0 END AS bl FROM replies) {_mirror('long', 'al', 'bl')} UNION ALL {_mirror('attachment', 'has_attachment', 'reply_att')}",
     "resonance_cells": f"""WITH {_PAIRS}, c AS (SELECT category, reply, count(*) AS n, count(*) FILTER (reply_ts - ts <= 3600) AS fast FROM replies GROUP BY 1, 2), l AS (SELECT *, n * sum(n) OVER () / (sum(n) OVER (PARTITION BY category) * sum(n) OVER (PARTITION BY reply)) AS lift FROM c)
 SELECT category, reply, n, {rounded('lift')} AS lift, {rounded('fast / n')} AS fast_rate FROM l WHERE n >= 12 AND {rounded('lift')} >= 1.05""",
     "bids_by_type": f"WITH {_NEXT} SELECT category, is_from_me, count(*) AS n, count(*) FILTER (wait <= 3600) AS in_1h, count(*) FILTER (wait <= 21600) AS in_6h, count(*) FILTER (wait IS NULL OR wait >= 86400) AS hanging, {rounded('count(*) FILTER (wait <= 21600) / count(*)')} AS rate FROM waits GROUP BY 1, 2",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chorale.functions.scope import kind_filter
 from chorale.functions.stats import js_round
 from chorale.operators import models
 from chorale.plans.dialect import MESSAGES, SEGMENTS, rounded
-from chorale.sources.tables import messages, segments
+from chorale.sources.tables import messages, segments, table
 
 
 def _by_chat() -> Window:
@@ -87,6 +87,26 @@ def day_windows_5x2(spark: SparkSession, d: str) -> DataFrame:
     return starts.groupBy("chat_id", "start").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("days")).filter("days = 5")
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson's r; 0 below three pairs or where a side doesn't vary."""
+    varies = (F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()) >= 3) & (F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) > 0) & (F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b))) > 0)
+    return F.when(varies, F.corr(a, b)).otherwise(0.0)
+
+
+def order_windows_56x14(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of eight weeks over the days of the orders, one begun every second week: volume, active days, its memory of seven
+    days before, and how customers of even and odd keys go together. A day lies in four windows at most."""
+    o = table(spark, d, "orders").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01")).cast("bigint"))
+    sums = o.groupBy("day").agg(F.count("*").alias("n"), F.count_if(F.col("o_custkey") % 2 == 0).alias("even"))
+    axis = sums.agg(F.min("day").alias("a"), F.max("day").alias("b")).select("a", "b", F.explode(F.sequence("a", "b")).alias("day"))
+    x = axis.join(sums, "day", "left").na.fill(0, ["n", "even"]).withColumns({"i": F.col("day") - F.col("a"), "last": F.col("b") - F.col("a") - 55})
+    first = F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.floor(F.col("i") / 14) * 14 - 14 * k), lambda s: (s >= 0) & (s <= F.col("last")))
+    y = x.withColumn("start", F.explode(first)).withColumns({"v": F.log1p("n"), "p": F.log1p("even"), "q": F.log1p(F.col("n") - F.col("even"))})
+    y = y.withColumn("earlier", F.lag("v", 7).over(Window.partitionBy("start").orderBy("i")))
+    g = y.groupBy("start").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("active"), js_round(_corr("v", "earlier"), 4).alias("memory"), js_round(_corr("p", "q"), 4).alias("synchrony"))
+    return g.filter("n >= 70")
+
+
 def day_recurrence(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of days eight or more apart, the nearest 7.5 % of which recur: a few hundred days at most, whatever the log."""
     x = _whole_days(spark, d).select("i", F.log1p("n").alias("a"), F.log1p("words").alias("b"))
@@ -157,6 +177,13 @@ SELECT period, {rounded('sqrt(pow(sum(x * cos(2 * pi() * i / period)), 2) + pow(
 SELECT lag, {rounded('CASE WHEN count(*) >= 3 THEN coalesce(corr(u.a, v.b), 0) ELSE 0 END', 4)} AS r FROM x u, l, x v WHERE u.i + lag = v.i GROUP BY 1""",
     "day_windows_5x2": f"""WITH {_DAYS}, x AS (SELECT *, day - min(day) OVER (PARTITION BY chat_id) AS i FROM days), s AS (SELECT chat_id, i AS start FROM x WHERE i % 2 = 0)
 SELECT s.chat_id, s.start, CAST(sum(n) AS BIGINT) AS n, CAST(sum(words) AS BIGINT) AS words, count(*) AS days FROM s JOIN x ON x.chat_id = s.chat_id AND x.i BETWEEN s.start AND s.start + 4 GROUP BY 1, 2 HAVING count(*) = 5""",
+    "order_windows_56x14": f"""WITH o AS (SELECT date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day, count(*) AS n, count(*) FILTER (o_custkey % 2 = 0) AS even FROM orders GROUP BY 1),
+ax AS (SELECT unnest(range((SELECT min(day) FROM o), (SELECT max(day) + 1 FROM o))) AS day), x AS (SELECT day - min(day) OVER () AS i, coalesce(n, 0) AS n, coalesce(even, 0) AS even, ln(1 + coalesce(n, 0)) AS v FROM ax LEFT JOIN o USING (day)),
+s AS (SELECT i AS start FROM x WHERE i % 14 = 0 AND i + 56 <= (SELECT count(*) FROM x)),
+y AS (SELECT start, x.n, x.v, e.v AS earlier, ln(1 + x.even) AS p, ln(1 + x.n - x.even) AS q FROM s JOIN x ON x.i BETWEEN start AND start + 55 LEFT JOIN x e ON e.i = x.i - 7 AND e.i >= start)
+SELECT start, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (n > 0) AS active,
+ {rounded('CASE WHEN count(earlier) >= 3 AND stddev_pop(v) FILTER (earlier IS NOT NULL) > 0 AND stddev_pop(earlier) > 0 THEN corr(v, earlier) ELSE 0 END', 4)} AS memory,
+ {rounded('CASE WHEN stddev_pop(p) > 0 AND stddev_pop(q) > 0 THEN corr(p, q) ELSE 0 END', 4)} AS synchrony FROM y GROUP BY 1 HAVING sum(n) >= 70""",
     "day_recurrence": f"""WITH {_WHOLE}, p AS (SELECT u.i, v.i AS j, sqrt(pow(ln(1 + u.n) - ln(1 + v.n), 2) + pow(ln(1 + u.words) - ln(1 + v.words), 2)) AS distance FROM whole u JOIN whole v ON v.i - u.i >= 8), l AS (SELECT quantile_cont(distance, 0.075) AS top FROM p)
 SELECT i, j, {rounded('distance', 4)} AS distance FROM p, l WHERE {rounded('distance')} <= {rounded('top')}""",
     "turning_points_js": f"""WITH {_GRID} SELECT day, {rounded('sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END)', 5)} AS divergence, CAST(any_value(total) AS BIGINT) AS total FROM g3 GROUP BY 1""",
