@@ -118,9 +118,9 @@ def _per_100(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(0.0)
 
 
-def omen_events(spark: SparkSession, d: str) -> DataFrame:
-    """Days after which the log surges, lulls, strains or mends: a row for each kind that a day is, by the weeks around it."""
-    s = _week_sums(_daily(uneven(phrased(spark, d))))
+def inflections(m: DataFrame) -> DataFrame:
+    """Days after which a log of texts surges, lulls, strains or mends: a row for each kind that a day is, by the weeks around it."""
+    s = _week_sums(_daily(m))
     past, future = F.col("past_n"), F.col("future_n")
     up, down, delta = (future + 20) / (past + 20), (past + 20) / (future + 20), future - past
     strain = [_per_100(F.col(f"{side}_n_strain"), F.col(f"{side}_n")) for side in ("past", "future")]
@@ -149,6 +149,10 @@ def omen_events(spark: SparkSession, d: str) -> DataFrame:
     return e.select("day", "past", "future", "e.*")
 
 
+def omen_events(spark: SparkSession, d: str) -> DataFrame:
+    return inflections(uneven(phrased(spark, d)))
+
+
 def spaced_events(spark: SparkSession, d: str) -> DataFrame:
     """Inflections of each kind, the strongest first (then the greater change, then the earlier), five days apart at least and
     eighteen at most. A kind's candidates are days, which a log of any size has few of."""
