@@ -210,4 +210,12 @@ s AS (SELECT id, kind, {rounded('sum(n * CAST(weight AS DOUBLE))')} AS score FRO
 SELECT id, kind, score, secondary, {rounded('least(0.97, 0.45 + 0.42 * (score - second) / greatest(score, 1.0) + 0.12 * tanh(score / 8))')} AS confidence, CASE WHEN score < 1 THEN 'weak' WHEN score - second < 0.1 THEN 'ambiguous' ELSE 'classified' END AS status FROM r WHERE pos = 1""",
     "store_projection": f"WITH {MESSAGES} SELECT id, ts, CAST(id AS VARCHAR) AS guid, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS is_image, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS is_video, '604555' || lpad(CAST(id % 10000 AS VARCHAR), 4, '0') AS handle FROM messages",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "capsules_diverse", "topic_communities", "conversation_threads"]}
+#: One capsule a step: by score less the greatest likeness to those taken, the first of equals.
+ORACLE_SQL["capsules_diverse"] = f"""WITH RECURSIVE scored AS ({ORACLE_SQL['capsule_scores']}),
+pool AS (SELECT *, row_number() OVER (ORDER BY score DESC, segment_id) AS place FROM scored QUALIFY place <= 420),
+steps AS (SELECT 0 AS step, [0]::BIGINT[] AS taken, CAST(0 AS BIGINT) AS place
+  UNION ALL SELECT step + 1, list_append(taken, best), best FROM (SELECT step, taken, (SELECT p.place FROM pool p WHERE NOT list_contains(taken, p.place)
+    ORDER BY p.score - 0.32::DOUBLE * coalesce((SELECT max(0.35::DOUBLE * CAST(q.category = p.category AS INT) + 0.35::DOUBLE * CAST(q.topic_id = p.topic_id AS INT)) FROM pool q WHERE list_contains(taken, q.place)), 0) DESC, p.place LIMIT 1) AS best
+    FROM steps WHERE step < 18) WHERE best IS NOT NULL)
+SELECT CAST(step AS BIGINT) AS rank, segment_id, score FROM steps JOIN pool USING (place)"""
+QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "topic_communities", "conversation_threads"]}

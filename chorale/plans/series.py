@@ -191,4 +191,13 @@ SELECT i, j, {rounded('distance', 4)} AS distance FROM p, l WHERE {rounded('dist
     "novelty": f"""WITH {SEGMENTS}, s AS (SELECT segment_id, x, y, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM segments WINDOW w AS (PARTITION BY chat_id ORDER BY start_ts, segment_id ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING))
 SELECT segment_id, {rounded('sqrt(pow(x - mx, 2) + pow(y - my, 2))', 3)} AS novelty FROM s WHERE mx IS NOT NULL""",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLE_SQL, "seasons_dp"]}
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_CUTS = " ".join(f"JOIN w s{k} ON s{k}.a = s{k - 1}.b + 1" for k in range(2, 7))
+#: Every way to cut the days in six is tried; the first of the least error counts. Fewer than 24 days are one stretch.
+ORACLE_SQL["seasons_dp"] = f"""WITH {SEGMENTS}, dd AS (SELECT CAST(floor(start_ts / 86400) AS BIGINT) AS day, {', '.join(f"count(*) FILTER (category = '{k}') AS {k}" for k in _KINDS)} FROM segments GROUP BY 1),
+rn AS (SELECT row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS days, day, {' + '.join(_KINDS)} AS total, {', '.join(f"{k} / greatest({' + '.join(_KINDS)}, 1) AS {k}" for k in _KINDS)} FROM dd),
+w AS (SELECT a.i AS a, b.i AS b, a.day AS start, b.day AS stop, CAST(sum(r.total) AS BIGINT) AS n, {' + '.join(f'var_pop(r.{k}) * count(*)' for k in _KINDS)} AS cost FROM rn a JOIN rn b ON b.i >= a.i + 3 JOIN rn r ON r.i BETWEEN a.i AND b.i GROUP BY ALL),
+best AS (SELECT [{', '.join(f"{{'start': s{k}.start, 'stop': s{k}.stop, 'n': s{k}.n}}" for k in range(1, 7))}] AS cuts FROM w s1 {_CUTS} WHERE s1.a = 1 AND s6.b = (SELECT max(i) FROM rn) ORDER BY {' + '.join(f's{k}.cost' for k in range(1, 7))} LIMIT 1),
+u AS (SELECT unnest(cuts) AS c, unnest(range(6)) AS season FROM best)
+SELECT season, c.start AS start, c.stop AS "end", c.n AS n FROM u UNION ALL SELECT 0, min(day), max(day), CAST(sum(total) AS BIGINT) FROM rn WHERE days < 24 HAVING count(*) > 0"""
+QUERIES = {name: globals()[name] for name in ORACLE_SQL}
