@@ -193,8 +193,8 @@ def streamed_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 
 #: The white space that parts words, as bytes.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-#: A text slab's bytes are hashed at once; a longer single text makes a slab of its own.
-SLAB = 1 << 21
+#: A text slab's bytes are hashed at once, in arrays of 8 bytes for each; a longer single text makes a slab of its own.
+SLAB = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

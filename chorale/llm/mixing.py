@@ -10,8 +10,10 @@ Rates become copies by carrying the rounding error along a source's documents, l
 what is left. Sources are dealt over blocks of about BLOCK documents by the hash of id, size and text; each block carries its
 own error and is streamed, so a block of any size (rows equal in all three share one) takes bounded memory.
 
-`mix` moves ids and sizes only; `mixed` gives the documents themselves and moves each once, so rows that share an id, or
-have none, get the very copies that were decided for them. Newton's iterations that don't meet the goals are an error.
+`mix` moves ids and sizes only. `mixed` decides on these too and joins what is decided to the documents, which move once, evenly
+dealt, and never pass through Python. The join goes by two 64-bit hashes of id, source and text; rows equal in all three are
+counted off within their key and share what the key takes, so rows that share an id, or have none, are rows of their own.
+Newton's iterations that don't meet the goals are an error.
 
 Targets: sources in the order of their code points, null last, weigh 3, 1, 2 in turn, share `share` of all sizes by
 weight, stop at `most` times their size, and what is above is reshared by weight until none is. That fixed
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,7 +180,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, 0 to `most` times."""
-    columns = _sized(docs, id_col, text_col, source_col)
-    per = _rated(materialize(docs.select(*columns[1:3])), share, most)
-    out = _copied(docs.select(F.struct(*docs.columns).alias("_row"), *columns), per, most).filter("copies > 0")
-    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    text = F.col(text_col).cast("string")
+    # the literal starts a second hash of the text beside _hash
+    key = F.xxhash64(F.lit(1), text, F.col(source_col).cast("string"), F.col(source_col).isNull(), id_col, F.col(id_col).isNull())
+    sized = materialize(docs.select(*_sized(docs, id_col, text_col, source_col), key.alias("_key")))
+    decided = _copied(sized, _rated(sized.select("source", "size"), share, most), most)
+    per_key = decided.groupBy("_key", "_hash").agg(F.count("*").alias("_n"), F.sum("copies").alias("_total")).filter("_total > 0")
+    rows = docs.filter(text.isNotNull()).select(F.struct(*docs.columns).alias("_row"), key.alias("_key"), F.xxhash64(text).alias("_hash"))
+    place = F.count("*").over(Window.partitionBy("_key", "_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.join(per_key, ["_key", "_hash"]).withColumn("_place", place)
+    copies = F.expr("_total div _n + if(_place <= _total % _n, 1, 0)").cast("long")
+    return placed.select("_row", copies.alias("copies")).filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

@@ -8,6 +8,7 @@ import io
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from math import ceil
@@ -523,6 +524,32 @@ def test_mixed_rows_are_the_mix(spark, docs):
     assert rows(mixing.mixed(df.limit(0))) == []
 
 
+def test_slabs_bound_a_workers_memory():
+    texts = pa.array([f"{'word ' * 400}{i}" for i in range(4000)])
+    quality.measured(texts)  # the tables of powers stay
+    tracemalloc.start()
+    whole = quality.measured(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    assert whole.to_pylist()[::997] == [quality.measured(texts.slice(i, 1)).to_pylist()[0] for i in range(0, 4000, 997)]
+
+
+def test_mixed_keeps_texts_out_of_python(spark, docs):
+    table = [(i // 2, f"{'w ' * (10 + i % 7)}{i // 4}", "en", "ab"[i % 3 % 2]) for i in range(400)] + [(1, "v " * 40, lang, None) for lang in ("en", "de", "fr")]
+    df = docs(table)
+    out = mixing.mixed(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert moved and not any("_row" in line or "text" in line for line in moved)
+    decided = Counter()
+    for r in rows(mixing.mix(df)):
+        decided[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = rows(out)
+    assert Counter((r["doc_id"], r["source"], len(WORDS.findall(r["text"]))) for r in got) == +decided
+    assert max(Counter(map(tuple, got)).values()) <= 2 * max(Counter(map(tuple, rows(df))).values())
+
+
 # ---------------------------------------------------------------- 8 fingerprints
 
 
